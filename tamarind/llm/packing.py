@@ -8,9 +8,10 @@ partition ends, its open windows are leftovers.  Leftovers of up to ``FAN``
 partitions are packed again by one task, level by level, until one task is
 left, which fills windows to the last place.
 
-Tokens come from a tokenizer file of the ``tokenizers`` library.  Its words
-never span white space, so each distinct word is encoded once and its ids are
-reused; a worker's memory of words is bounded and keyed by 64-bit hashes.
+Tokens come from a tokenizer file of the ``tokenizers`` library that lower-cases
+and drops white space.  Its words never span white space, so each distinct word
+is encoded once and its ids are reused; a worker's memory of words is bounded
+and keyed by 64-bit hashes.
 
 Defined cases: a null or empty text is its end mark alone.  Repeated rows are
 packed one by one.  No documents, no sequences.  Very long texts are cut into
@@ -22,6 +23,7 @@ from __future__ import annotations
 import bisect
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -67,8 +69,9 @@ class Encoder:
         raw = w.data.tobytes()
         made = self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(w.start[fresh].tolist(), w.end[fresh].tolist(), strict=True)], add_special_tokens=False)
         parts = [x.ids for x in made]
+        del made
         count = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.fromiter((i for x in parts for i in x), np.uint32, int(count.sum()))
+        flat = np.fromiter(chain.from_iterable(parts), np.uint32, int(count.sum()))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
         self.ids[self.used : self.used + len(flat)] = flat
@@ -81,9 +84,26 @@ class Encoder:
         k = np.minimum(np.searchsorted(self.known, h), max(len(self.known) - 1, 0))
         return k, self.known[k] == h if len(self.known) else np.zeros(len(h), bool)
 
+    def _words(self, data: np.ndarray, offsets: np.ndarray) -> scan.Words:
+        """Words with fewer forms, by steps of the tokenizer that don't depend on the rest of a word.
+
+        A capital is lower-cased unless a mark may follow it, with which it
+        would first be composed.  A full stop or comma that ends a word after
+        an ASCII letter is always a piece of its own.
+        """
+        after = np.append(data[1:], np.uint8(32))
+        after[offsets[1:-1][offsets[1:-1] > 0] - 1] = 32
+        before = np.concatenate([np.zeros(1, np.uint8), data[:-1]]) if len(data) else data
+        before[offsets[:-1][offsets[:-1] < len(data)]] = 0
+        letter = scan.LOWER[before]
+        cut = ((data == 44) | (data == 46)) & ~scan.NOT_SPACE[after[: len(data)]] & (letter >= 97) & (letter <= 122)
+        if b"<|" not in data.tobytes():  # a special token's text must not appear by lower-casing
+            data = data + ((data >= 65) & (data <= 90) & (after[: len(data)] < 128)).astype(np.uint8) * np.uint8(32)
+        return scan.words(data, offsets, scan.NOT_SPACE, lower=False, cut=cut)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents and the first id of each, end marks included."""
-        w = scan.words(data, offsets, scan.NOT_SPACE, lower=False)
+        w = self._words(data, offsets)
         kinds, sample, kind = np.unique(w.hash, return_index=True, return_inverse=True)
         k, there = self._find(kinds)
         if not there.all():
@@ -193,7 +213,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
         packer = Packer(TaskContext.get().partitionId(), size, most)
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for row, end, data, offsets in scan.slices(batch.column(1)):
+            for row, end, data, offsets in scan.slices(batch.column(1), 2 * scan.SLICE_BYTES):
                 ids, begin = encoder.encode(data, offsets)
                 for d in range(end - row):
                     packer.add(names[row + d], 0, ids[begin[d] : begin[d + 1]], int(begin[d + 1] - begin[d]))

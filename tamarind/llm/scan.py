@@ -91,14 +91,16 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         row = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, chars: np.ndarray = NOT_SPACE, lower: bool = True) -> Words:
-    """Cuts each document into runs of the given bytes and hashes them."""
+def words(data: np.ndarray, offsets: np.ndarray, chars: np.ndarray = NOT_SPACE, lower: bool = True, cut: np.ndarray | None = None) -> Words:
+    """Cuts each document into runs of the given bytes and hashes them; ``cut`` marks bytes that begin a word of their own."""
     low = LOWER[data] if lower else data
     n = len(low)
     inside = np.zeros(n + 1, bool)
     inside[:n] = chars[low]
     edge = np.zeros(n + 1, bool)  # a word can't continue over the start of a document
     edge[offsets] = True
+    if cut is not None:
+        edge[:n] |= cut
     before = np.zeros(n + 1, bool)
     before[1:] = inside[:-1]
     start = np.flatnonzero(inside & (~before | edge))
