@@ -13,9 +13,10 @@ have a Jaccard similarity of ``percent`` hundredths or more.
    class can't be shared and are left out.  The same bound is applied again.
 3. The global order is now rare n-grams first.  Classes that could link share
    an n-gram of their prefixes; length bounds use the n-grams left.  In a prefix
-   n-gram of up to ``SMALL`` classes all pairs are candidates; in a larger one
-   each class pairs with the most central one first, and after the links found
-   have been joined into components, only pairs of different components remain.
+   n-gram of up to ``SMALL`` classes all pairs are candidates.  A class with
+   larger ones first pairs with the most central class in any of them; after the
+   links found have been joined into components, only pairs of different
+   components remain in the larger ones.
    No group is expanded into all pairs, and no link between components is lost.
 4. Candidates are verified: fragments of their classes' sets count partial
    overlaps separately, and the sums per pair decide exactly.
@@ -43,10 +44,11 @@ from . import scan, shared
 from .components import components
 
 FIRST = 4  # one in so many n-grams, by hash, is in the first fragments
+FRAGMENTS = 12  # at least; a number that followed the cluster's settings would cut documents finer for nothing
 FRAGMENT_BYTES = 48 << 20  # text for which there is one fragment in step 1
 PIECE = 400_000  # n-grams of a group of clusters that one fragment may hold in step 4
 SMALL = 16
-RECENT = 128  # earlier prefix n-grams of a class that are looked at to emit a pair once
+RECENT = 48  # earlier prefix n-grams of a class that are looked at to emit a pair once
 
 
 def _mapped(df: DataFrame, function, schema: str) -> DataFrame:
@@ -233,11 +235,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sums.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def _feasible(x: str, y: str, percent: int):
-    """Whether n-grams that are left allow the overlap a link of two classes needs, by lengths and prefix places."""
-    lx, ly, nx, ny = (F.col(f"{s}.{c}") for c in ("live", "n") for s in (x, y))
-    best = F.least(F.col(f"{x}.at"), F.col(f"{y}.at")) + F.least(lx - F.col(f"{x}.at"), ly - F.col(f"{y}.at"))
-    return (100 + percent) * F.least(lx, ly, best) >= percent * (nx + ny)
+def _feasible(x: str, y: str, percent: int, first: bool):
+    """Whether the n-grams that are left allow the overlap a link needs, by lengths and prefix places.
+
+    With ``first``, no earlier n-gram that both have was seen among the recent ones.
+    """
+    lx, ly, nx, ny, ix, iy = (F.col(f"{s}.{c}") for c in ("live", "n", "at") for s in (x, y))
+    earlier = F.least(ix, iy)
+    if first:
+        earlier = F.least(earlier, F.greatest(ix - RECENT, F.lit(0)) + F.greatest(iy - RECENT, F.lit(0)))
+    best = F.least(lx, ly, earlier + F.least(lx - ix, ly - iy))
+    return (100 + percent) * best >= percent * (nx + ny)
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -248,19 +256,19 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     least = F.ceil(F.col("n") * percent / 100.0).cast("long")  # overlap that a link needs at least
 
     # 1: bounds from the first fragments
-    count = max(shared.partitions(spark), -(-shared.text_bytes(rows, "text") // FRAGMENT_BYTES))
+    count = max(FRAGMENTS, -(-shared.text_bytes(rows, "text") // FRAGMENT_BYTES))
     cut = _mapped(known, _first_fragments(size, count), "fragment int, docs binary, sizes binary, counts binary, hashes binary")
     lone = cut.groupBy("fragment").applyInArrow(_lone, "doc long, n long, sum long, dead long")
     docs_n = shared.settle(lone.groupBy("doc").agg(F.max("n").alias("n"), F.sum("dead").alias("dead"), (F.min("sum") != F.max("sum")).alias("mixed")), "bounds")
     maybe = docs_n.where((F.col("n") > 0) & ((F.col("dead") <= F.col("n") - least) | F.col("mixed"))).select("doc")
 
     # 2: classes of equal sets, frequencies in all fragments
-    sets = shared.settle(_mapped(known.join(maybe, "doc", "left_semi"), _sets(size), "doc long, n long, digest binary, grams binary"), "sets").where("n > 0")
+    sets = shared.settle(_mapped(known.join(maybe.hint("merge"), "doc", "left_semi"), _sets(size), "doc long, n long, digest binary, grams binary"), "sets").where("n > 0")
     of = sets.groupBy("doc").agg(F.min(F.struct("digest", "n")).alias("d")).select("doc", "d.*")
     member = of.groupBy("digest").agg(F.min("doc").alias("rep"))
     member = shared.settle(of.join(member, "digest").select("doc", "rep", "digest", "n"), "classes")
     reps = sets.join(member.where("doc = rep").select("doc", "digest").distinct(), ["doc", "digest"], "left_semi").dropDuplicates(["digest"])
-    pieces = max(shared.partitions(spark), -(-(member.where("doc = rep").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // 2_000_000))
+    pieces = max(FRAGMENTS, -(-(member.where("doc = rep").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // 2_000_000))
     cut = _mapped(reps.select("doc", "grams", F.lit(pieces).alias("fragments")), _cut, "fragment int, doc long, grams binary")
     live = shared.settle(cut.groupBy("fragment").applyInArrow(_shared, "doc long, live long, grams binary, dfs binary"), "live")
     sizes = member.where("doc = rep").groupBy("doc").agg(F.max("n").alias("n"))
@@ -273,8 +281,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     tagged = prefix.join(groups, "gram")
     small, large = tagged.where(F.col("m") <= SMALL).drop("hub"), tagged.where(F.col("m") > SMALL)
     first = ~F.arrays_overlap("x.recent", "y.recent")
-    near = small.alias("x").join(small.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.doc") < F.col("y.doc")) & _feasible("x", "y", percent) & first).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-    star = large.where("doc <> hub.doc").select(F.struct("doc", "n", "live", "at").alias("x"), F.col("hub").alias("y")).where(_feasible("x", "y", percent)).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
+    near = small.alias("x").join(small.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.doc") < F.col("y.doc")) & _feasible("x", "y", percent, True) & first).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+    star = large.where("doc <> hub.doc").select(F.struct("doc", "n", "live", "at").alias("x"), F.col("hub").alias("y")).where(_feasible("x", "y", percent, False))
+    star = star.groupBy("x.doc").agg(F.max("y").alias("y")).select(F.least("doc", "y.doc").alias("a"), F.greatest("doc", "y.doc").alias("b"))
     tried = shared.settle(near.unionByName(star).distinct(), "pairs")
     grams = shared.settle(_mapped(whole.select("doc", "n", "grams"), _joined_sets, "doc long, n long, grams binary"), "class-sets")
     links = shared.settle(_verified(tried, grams, percent), "links")
@@ -283,7 +292,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     hubs = labelled.where("doc = hub.doc").select("gram", F.col("comp").alias("main"))
     labelled = labelled.drop("hub").join(hubs, "gram")
     apart = labelled.where("comp <> main")
-    rest = apart.alias("x").join(labelled.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.doc") < F.col("y.doc"))) & _feasible("x", "y", percent) & first)
+    rest = apart.alias("x").join(labelled.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.doc") < F.col("y.doc"))) & _feasible("x", "y", percent, True) & first)
     rest = rest.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     rest = shared.settle(rest, "pairs")
     more = shared.settle(_verified(rest, grams, percent), "links")
