@@ -238,7 +238,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
     done = [packed.where("not open")]
     tasks, level = docs.rdd.getNumPartitions(), 1
     while True:
-        tasks = -(-tasks // FAN)
+        tasks = max(1, -(-tasks // FAN))
         left = packed.where("open").withColumn("_task", (F.call_function("shiftright", F.col("sequence_id"), F.lit(32)) % F.lit(tasks)).cast("int"))
         left = left.repartitionByRange(tasks, "_task") if tasks > 1 else left.coalesce(1)
         left = left.sortWithinPartitions("_task", "sequence_id", "offset").drop("_task")
