@@ -70,6 +70,8 @@ def chosen_paths(nodes: DataFrame, most: int = 1) -> DataFrame:
     marks = leaves.withColumn("path", rank).where(F.col("path") <= most).select("conv", "path", "node")
     for jump in reversed(jumps[:-1]):  # a leaf's ancestors: all sums of powers of two above it
         ups = jump.where("up is not null").select("conv", "node", "up")
+        # written each round: marks occur twice in the next, so a nested plan would double with every step
+        marks = shared.settle(marks, "chat-marks")
         marks = marks.unionByName(marks.join(ups, ["conv", "node"]).select("conv", "path", F.col("up").alias("node")))
     path = marks.distinct().join(reach.select("conv", "node", (F.col("steps") - 1).alias("depth")), ["conv", "node"])
     return path.join(nodes.select("conv", "node", "role", "text"), ["conv", "node"]).select("conv", "path", "depth", "role", "text")
