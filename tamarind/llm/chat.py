@@ -18,6 +18,8 @@ read, so others can't clash.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,28 +54,32 @@ def chosen_paths(nodes: DataFrame, most: int = 1) -> DataFrame:
     ids = nodes.select("conv", F.col("node").alias("parent"), F.lit(True).alias("there"))
     nodes = shared.settle(nodes.join(ids, ["conv", "parent"], "left").select("conv", "node", F.when(F.col("there"), F.col("parent")).alias("parent"), "role", "text", F.coalesce("score", F.lit(0.0)).alias("score")), "chat-nodes")
 
-    # jump: the ancestor 2 ** k steps up; total: scores of the steps passed, own included; done: reached a root
-    jumps = [nodes.select("conv", "node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("steps"), F.col("score").alias("total"))]
+    # up: the ancestor 2 ** k steps above, null where the root is nearer; total: scores of the steps passed, own included.
+    # A node leaves the rounds when it has reached its root, and stays only while one that still climbs looks it up.
+    moved = nodes.select("conv", "node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("steps"), F.col("score").alias("total"))
+    most_steps, jumps, roots, still = 2 * nodes.count(), [], [moved.where("up is null")], None
     while True:
-        step = jumps[-1]
-        above = step.select("conv", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("s2"), F.col("total").alias("t2"), F.lit(True).alias("met"))
-        ahead = step.join(above, ["conv", "up"], "left")
-        more = F.col("met").isNotNull()
-        jumps.append(shared.settle(ahead.select("conv", "node", "up2", (F.col("steps") + F.when(more, F.col("s2")).otherwise(0)).alias("steps"), (F.col("total") + F.when(more, F.col("t2")).otherwise(0.0)).alias("total")).withColumnRenamed("up2", "up"), "chat-jumps"))
-        left = jumps[-1].where("up is not null").agg(F.count("*"), F.max("steps")).first()
-        if not left[0] or left[1] > 2 * nodes.count():  # what still climbs then is on a cycle
+        climbing = moved.where("up is not null")
+        left = climbing.agg(F.count("*"), F.max("steps")).first()
+        if not left[0] or left[1] > most_steps:  # what still climbs then is on a cycle
             break
-    reach = jumps[-1].where("up is null").select("conv", "node", "steps", "total")
+        jumps.append(climbing.select("conv", "node", "up"))
+        there = moved.where("up is null") if still is None else moved.where("up is null").unionByName(still)
+        asked = climbing.select("conv", F.col("up").alias("node")).distinct()
+        still = shared.settle(there.join(asked, ["conv", "node"], "left_semi"), "chat-roots")
+        above = climbing.unionByName(still).select("conv", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("s2"), F.col("total").alias("t2"))
+        ahead = climbing.join(above, ["conv", "up"])
+        moved = shared.settle(ahead.select("conv", "node", F.col("up2").alias("up"), (F.col("steps") + F.col("s2")).alias("steps"), (F.col("total") + F.col("t2")).alias("total")), "chat-jumps")
+        roots.append(moved.where("up is null"))
+    reach = reduce(DataFrame.unionByName, roots).select("conv", "node", "steps", "total")
     inner = nodes.where("parent is not null").select("conv", F.col("parent").alias("node")).distinct()
     leaves = reach.join(inner, ["conv", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("conv").orderBy((F.col("total") / F.col("steps")).desc(), F.col("node")))
-    marks = leaves.withColumn("path", rank).where(F.col("path") <= most).select("conv", "path", "node")
-    for jump in reversed(jumps[:-1]):  # a leaf's ancestors: all sums of powers of two above it
-        ups = jump.where("up is not null").select("conv", "node", "up")
-        # written each round: marks occur twice in the next, so a nested plan would double with every step
-        marks = shared.settle(marks, "chat-marks")
-        marks = marks.unionByName(marks.join(ups, ["conv", "node"]).select("conv", "path", F.col("up").alias("node")))
-    path = marks.distinct().join(reach.select("conv", "node", (F.col("steps") - 1).alias("depth")), ["conv", "node"])
+    marks = [shared.settle(leaves.withColumn("path", rank).where(F.col("path") <= most).select("conv", "path", "node", (F.col("steps") - 1).alias("depth")), "chat-marks")]
+    for k in reversed(range(len(jumps))):  # a leaf's ancestors: each sum of powers of two above it once
+        high = reduce(DataFrame.unionByName, marks).where(F.col("depth") >= 1 << k)
+        marks.append(shared.settle(high.join(jumps[k], ["conv", "node"]).select("conv", "path", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth")), "chat-marks"))
+    path = reduce(DataFrame.unionByName, marks)
     return path.join(nodes.select("conv", "node", "role", "text"), ["conv", "node"]).select("conv", "path", "depth", "role", "text")
 
 
