@@ -12,11 +12,11 @@ have a Jaccard similarity of ``percent`` hundredths or more.
    into fragments, which give each n-gram's document frequency; n-grams of one
    class can't be shared and are left out.  The same bound is applied again.
 3. The global order is now rare n-grams first.  Classes that could link share
-   an n-gram of their prefixes; length bounds use the n-grams left.  In a prefix
-   n-gram of up to ``SMALL`` classes all pairs are candidates.  A class with
-   larger ones first pairs with the most central class in any of them; after the
-   links found have been joined into components, only pairs of different
-   components remain in the larger ones.
+   an n-gram of their prefixes; length bounds use the n-grams left, and parity
+   bits of the whole sets bound their symmetric difference from below.  A class
+   first pairs with the most central class in any of its prefix n-grams; after
+   the links found have been joined into components, only pairs of different
+   components that share a prefix n-gram remain.
    No group is expanded into all pairs, and no link between components is lost.
 4. Candidates are verified: fragments of their classes' sets count partial
    overlaps separately, and the sums per pair decide exactly.
@@ -34,10 +34,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scan, shared
@@ -47,7 +48,7 @@ FIRST = 4  # one in so many n-grams, by hash, is in the first fragments
 FRAGMENTS = 12  # at least; a number that followed the cluster's settings would cut documents finer for nothing
 FRAGMENT_BYTES = 48 << 20  # text for which there is one fragment in step 1
 PIECE = 400_000  # n-grams of a group of clusters that one fragment may hold in step 4
-SMALL = 16
+PARITY = 8  # words of 64 parity bits a class
 RECENT = 48  # earlier prefix n-grams of a class that are looked at to emit a pair once
 
 
@@ -122,13 +123,28 @@ def _first_fragments(size: int, count: int):
     return run
 
 
+def _parity(h: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """PARITY words a set, with a bit for each bucket of hashes that holds an odd number of the set's n-grams.
+
+    Each bit in which two sets differ stands for at least one n-gram that only one of them has.
+    """
+    bucket = (h >> np.uint64(6)) % np.uint64(PARITY)
+    bit = np.uint64(1) << (h & np.uint64(63))
+    out = []
+    for k in range(PARITY):
+        odd = np.zeros(len(h) + 1, np.uint64)
+        np.bitwise_xor.accumulate(np.where(bucket == k, bit, np.uint64(0)), out=odd[1:])
+        out.append((odd[first[1:]] ^ odd[first[:-1]]).view(np.int64))
+    return list(np.stack(out, axis=1))
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, data, offsets in scan.slices(batch.column(1)):
                 h, first = scan.shingles(scan.words(data, offsets), size)
                 sets = [h[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                yield _batch(doc=batch.column(0).slice(row, end - row), n=pa.array(np.diff(first), pa.int64()), digest=pa.array([hashlib.sha256(x).digest() for x in sets], pa.binary()), grams=pa.array(sets, pa.binary()))
+                yield _batch(doc=batch.column(0).slice(row, end - row), n=pa.array(np.diff(first), pa.int64()), digest=pa.array([hashlib.sha256(x).digest() for x in sets], pa.binary()), odd=pa.array(_parity(h, first), pa.list_(pa.int64())), grams=pa.array(sets, pa.binary()))
 
     return run
 
@@ -170,19 +186,19 @@ def _shared(frame: pa.Table) -> pa.Table:
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Prefix n-grams of each class in the global order, rare ones first."""
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("gram", "doc", "n", "live", "at", "weight", "recent")}
-        for doc, n, live, need, grams, dfs in zip(*(batch.column(c).to_pylist() for c in ("doc", "n", "live", "need", "grams", "dfs")), strict=True):
+        out: dict[str, list] = {k: [] for k in ("gram", "doc", "n", "live", "at", "weight", "odd", "recent")}
+        for doc, n, live, need, odd, grams, dfs in zip(*(batch.column(c).to_pylist() for c in ("doc", "n", "live", "need", "odd", "grams", "dfs")), strict=True):
             h, df = np.concatenate([np.frombuffer(x, np.uint64) for x in grams]), np.concatenate([np.frombuffer(x, np.int32) for x in dfs])
             order = np.lexsort((h, df))[: live - need + 1]
             prefix = h[order].view(np.int64).tolist()
-            weight = float(df.mean())
+            weight = float(df.sum()) / n  # n-grams that no other class has count as none
             for k, g in enumerate(prefix):
                 out["gram"].append(g)
                 out["recent"].append(prefix[max(0, k - RECENT) : k])
             m = len(prefix)
-            for name, x in (("doc", [doc] * m), ("n", [n] * m), ("live", [live] * m), ("at", range(m)), ("weight", [weight] * m)):
+            for name, x in (("doc", [doc] * m), ("n", [n] * m), ("live", [live] * m), ("at", range(m)), ("weight", [weight] * m), ("odd", [odd] * m)):
                 out[name].extend(x)
-        yield _batch(**{k: pa.array(out[k], pa.int64()) for k in ("gram", "doc", "n", "live", "at")}, weight=pa.array(out["weight"], pa.float64()), recent=pa.array(out["recent"], pa.list_(pa.int64())))
+        yield _batch(**{k: pa.array(out[k], pa.int64()) for k in ("gram", "doc", "n", "live", "at")}, weight=pa.array(out["weight"], pa.float64()), odd=pa.array(out["odd"], pa.list_(pa.int64())), recent=pa.array(out["recent"], pa.list_(pa.int64())))
 
 
 def _joined_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +252,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _feasible(x: str, y: str, percent: int, first: bool):
-    """Whether the n-grams that are left allow the overlap a link needs, by lengths and prefix places.
+    """Whether the overlap a link needs is allowed by the n-grams left, by prefix places and by parity bits.
 
     With ``first``, no earlier n-gram that both have was seen among the recent ones.
     """
@@ -245,7 +261,8 @@ def _feasible(x: str, y: str, percent: int, first: bool):
     if first:
         earlier = F.least(earlier, F.greatest(ix - RECENT, F.lit(0)) + F.greatest(iy - RECENT, F.lit(0)))
     best = F.least(lx, ly, earlier + F.least(lx - ix, ly - iy))
-    return (100 + percent) * best >= percent * (nx + ny)
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"{x}.odd")[k].bitwiseXOR(F.col(f"{y}.odd")[k])) for k in range(PARITY)])
+    return ((100 + percent) * best >= percent * (nx + ny)) & ((100 + percent) * (nx + ny - apart) >= 2 * percent * (nx + ny))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -263,35 +280,33 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     maybe = docs_n.where((F.col("n") > 0) & ((F.col("dead") <= F.col("n") - least) | F.col("mixed"))).select("doc")
 
     # 2: classes of equal sets, frequencies in all fragments
-    sets = shared.settle(_mapped(known.join(maybe.hint("merge"), "doc", "left_semi"), _sets(size), "doc long, n long, digest binary, grams binary"), "sets").where("n > 0")
-    of = sets.groupBy("doc").agg(F.min(F.struct("digest", "n")).alias("d")).select("doc", "d.*")
+    sets = shared.settle(_mapped(known.join(maybe.hint("merge"), "doc", "left_semi"), _sets(size), "doc long, n long, digest binary, odd array<long>, grams binary"), "sets").where("n > 0")
+    of = sets.groupBy("doc").agg(F.min(F.struct("digest", "n", "odd")).alias("d")).select("doc", "d.*")
     member = of.groupBy("digest").agg(F.min("doc").alias("rep"))
-    member = shared.settle(of.join(member, "digest").select("doc", "rep", "digest", "n"), "classes")
+    member = shared.settle(of.join(member, "digest").select("doc", "rep", "digest", "n", "odd"), "classes")
     reps = sets.join(member.where("doc = rep").select("doc", "digest").distinct(), ["doc", "digest"], "left_semi").dropDuplicates(["digest"])
     pieces = max(FRAGMENTS, -(-(member.where("doc = rep").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // 2_000_000))
     cut = _mapped(reps.select("doc", "grams", F.lit(pieces).alias("fragments")), _cut, "fragment int, doc long, grams binary")
     live = shared.settle(cut.groupBy("fragment").applyInArrow(_shared, "doc long, live long, grams binary, dfs binary"), "live")
-    sizes = member.where("doc = rep").groupBy("doc").agg(F.max("n").alias("n"))
+    sizes = member.where("doc = rep").select("doc", "n", "odd")
     kept = live.groupBy("doc").agg(F.sum("live").alias("live")).join(sizes, "doc").withColumn("need", least).where("live >= need")
-    whole = live.drop("live").join(kept, "doc").groupBy("doc", "n", "live", "need").agg(F.collect_list("grams").alias("grams"), F.collect_list("dfs").alias("dfs"))
+    whole = live.drop("live").join(kept, "doc").groupBy("doc", "n", "live", "need", "odd").agg(F.collect_list("grams").alias("grams"), F.collect_list("dfs").alias("dfs"))
 
     # 3: candidates from prefixes
-    prefix = shared.settle(_mapped(whole, _prefixes, "gram long, doc long, n long, live long, at long, weight double, recent array<long>"), "prefixes")
-    groups = prefix.groupBy("gram").agg(F.count("*").alias("m"), F.max(F.struct("weight", (-F.col("doc")).alias("low"), "doc", "n", "live", "at")).alias("hub")).where("m > 1")
+    prefix = shared.settle(_mapped(whole, _prefixes, "gram long, doc long, n long, live long, at long, weight double, odd array<long>, recent array<long>"), "prefixes")
+    groups = prefix.groupBy("gram").agg(F.count("*").alias("m"), F.max(F.struct("weight", (-F.col("doc")).alias("low"), "doc", "n", "live", "at", "odd")).alias("hub")).where("m > 1")
     tagged = prefix.join(groups, "gram")
-    small, large = tagged.where(F.col("m") <= SMALL).drop("hub"), tagged.where(F.col("m") > SMALL)
-    first = ~F.arrays_overlap("x.recent", "y.recent")
-    near = small.alias("x").join(small.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.doc") < F.col("y.doc")) & _feasible("x", "y", percent, True) & first).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-    star = large.where("doc <> hub.doc").select(F.struct("doc", "n", "live", "at").alias("x"), F.col("hub").alias("y")).where(_feasible("x", "y", percent, False))
-    star = star.groupBy("x.doc").agg(F.max("y").alias("y")).select(F.least("doc", "y.doc").alias("a"), F.greatest("doc", "y.doc").alias("b"))
-    tried = shared.settle(near.unionByName(star).distinct(), "pairs")
+    star = tagged.where("doc <> hub.doc").select(F.struct("doc", "n", "live", "at", "odd").alias("x"), F.col("hub").alias("y")).where(_feasible("x", "y", percent, False))
+    star = star.groupBy("x.doc").agg(F.max(F.struct("y.weight", "y.low", "y.doc")).alias("y")).select(F.least("doc", "y.doc").alias("a"), F.greatest("doc", "y.doc").alias("b"))
+    tried = shared.settle(star.distinct(), "pairs")
     grams = shared.settle(_mapped(whole.select("doc", "n", "grams"), _joined_sets, "doc long, n long, grams binary"), "class-sets")
     links = shared.settle(_verified(tried, grams, percent), "links")
     joined = shared.settle(components(links), "joined")
-    labelled = large.drop("weight").join(joined, large["doc"] == joined["node"], "left").withColumn("comp", F.coalesce("component", "doc")).drop("node", "component")
+    labelled = tagged.drop("weight").join(joined, tagged["doc"] == joined["node"], "left").withColumn("comp", F.coalesce("component", "doc")).drop("node", "component")
     hubs = labelled.where("doc = hub.doc").select("gram", F.col("comp").alias("main"))
     labelled = labelled.drop("hub").join(hubs, "gram")
     apart = labelled.where("comp <> main")
+    first = ~F.arrays_overlap("x.recent", "y.recent")
     rest = apart.alias("x").join(labelled.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.doc") < F.col("y.doc"))) & _feasible("x", "y", percent, True) & first)
     rest = rest.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     rest = shared.settle(rest, "pairs")
