@@ -45,3 +45,36 @@ def merge_ranges(rows: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi
     reach = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(F.col("_reach").isNull() | (F.col(lo) > F.col("_reach") + 1), 1).otherwise(0)
     return rows.withColumn("_reach", reach).withColumn("_i", F.sum(opens).over(w)).groupBy(*keys, "_i").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("_i")
+
+
+def subtract_ranges(left: DataFrame, right: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """What closed ranges of ``left`` cover and none of ``right`` does, merged."""
+
+    def steps(df: DataFrame, a: int, b: int) -> DataFrame:
+        opens = F.struct(F.col(lo).alias("_at"), F.lit(a).alias("_a"), F.lit(b).alias("_b"))
+        shuts = F.struct((F.col(hi) + 1).alias("_at"), F.lit(-a).alias("_a"), F.lit(-b).alias("_b"))
+        return df.select(*keys, F.inline(F.array(opens, shuts)))
+
+    points = steps(left, 1, 0).unionByName(steps(right, 0, 1)).groupBy(*keys, "_at").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    w = Window.partitionBy(*keys).orderBy("_at")
+    cover = points.select(*keys, F.col("_at").alias(lo), (F.lead("_at").over(w) - 1).alias(hi), F.sum("_a").over(w).alias("_a"), F.sum("_b").over(w).alias("_b"))
+    return merge_ranges(cover.where("_a > 0 and _b = 0").select(*keys, lo, hi), keys, lo, hi)
+
+
+def hash32(value: Column) -> Column:
+    return F.conv(F.substring(F.md5(value), 1, 8), 16, 10).cast("long")
+
+
+def assign(rows: DataFrame, nodes: DataFrame, key: str, node: str, points: int = 16) -> DataFrame:
+    """Adds the node whose point on a hash ring is the first at or after the key's, the least point after the last.
+
+    The ring has ``points`` rows a node; its arcs are looked up by the hash's upper ten bits.
+    """
+    ring = nodes.select(node, F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("_k"))
+    ring = ring.groupBy(hash32(F.concat_ws("-", node, "_k")).alias("_to")).agg(F.min(node).alias(node))
+    w = Window.orderBy("_to")  # the ring alone
+    arcs = ring.withColumn("_from", F.coalesce(F.lag("_to").over(w) + 1, F.lit(0)))
+    last = ring.agg((F.max("_to") + 1).alias("_from"), F.min_by(node, "_to").alias(node)).withColumn("_to", F.lit((1 << 32) - 1)).where("_from <= _to")
+    arcs = arcs.unionByName(last).withColumn("_part", F.explode(F.sequence(F.shiftright("_from", 22), F.shiftright("_to", 22))))
+    placed = rows.withColumn("_at", hash32(F.col(key))).withColumn("_part", F.shiftright("_at", 22))
+    return placed.join(arcs, "_part").where("_at between _from and _to").drop("_part", "_at", "_from", "_to")

@@ -12,6 +12,7 @@ from .sources.messages import MESSAGES_SQL as M
 from .sources.messages import NOW_MS, read, rows
 from .sources.messages import RANGES_SQL as P
 from .sources.messages import SUBSCRIPTIONS_SQL as S
+from .streaming import windows
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -351,3 +352,38 @@ def K4_range_delete(spark, sf):
 def A2_message_packs(spark, sf):
     m = src.messages(spark, sf).groupBy("tenant", "topic", "publisher").agg(F.sort_array(F.collect_list(F.struct("hlc", "event_id"))).alias("p"))
     return m.select("tenant", "topic", F.array_join(F.transform("p", lambda x: x["event_id"].cast("string")), ",").alias("ids"))
+
+
+@query("""with a as (select distinct l_suppkey as k, unnest(range(l_orderkey, l_orderkey + l_linenumber * 20 + 1)) as x from lineitem), b as (select distinct l_suppkey as k, unnest(range(l_orderkey, l_orderkey + l_linenumber * 5 + 1)) as x from lineitem where l_linenumber % 3 = 0),
+d as (select * from a except select * from b), i as (select *, x - row_number() over (partition by k order by x) as g from d) select k as l_suppkey, min(x) as lo, max(x) as hi from i group by k, g""")
+def U4_subtract_ranges(spark, sf):
+    rows = read(spark, sf, "lineitem")
+    span = lambda df, n: df.select("l_suppkey", F.col("l_orderkey").alias("lo"), (F.col("l_orderkey") + F.col("l_linenumber") * n).alias("hi"))
+    return ranges.subtract_ranges(span(rows, 20), span(rows.where("l_linenumber % 3 = 0"), 5), ["l_suppkey"])
+
+
+NODES = ["ash", "birch", "cedar", "elm", "fir"]
+
+
+@query("with n(node) as (values " + ", ".join(f"('{n}')" for n in NODES) + "), p as (select min(node) as node, h from (select node, ('0x' || substr(md5(node || '-' || k), 1, 8))::bigint as h from n, range(16) t(k)) group by h), q as (select c_custkey, c_name, ('0x' || substr(md5(c_name), 1, 8))::bigint as hk from customer) select c_custkey, coalesce((select arg_min(node, h) from p where h >= hk), (select arg_min(node, h) from p)) as node from q")
+def J17_hash_ring(spark, sf):
+    return ranges.assign(read(spark, sf, "customer").select("c_custkey", "c_name"), rows(spark, [(n,) for n in NODES], "node string"), "c_name", "node").select("c_custkey", "node")
+
+
+@query("select event_type, slot, count(*) as n from (select event_type, unnest(generate_series((epoch_us(ts) // 1000) // 5000, ((epoch_us(ts) // 1000) + event_id % 5 * 3000) // 5000)) as slot from events) group by event_type, slot")
+def R2_load_slots(spark, sf):
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    return windows.slots(read(spark, sf, "events"), ms, ms + F.col("event_id") % 5 * 3000, 5000, ["event_type"])
+
+
+@query("select event_id, cast(sum(cast(round(value * 100) as bigint)) over w as bigint) as cents, count(*) over w as n from events window w as (partition by user_id order by epoch_us(ts) // 1000 range between 86400000 preceding and current row)")
+def R4_moving_average(spark, sf):
+    e = read(spark, sf, "events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    w = Window.partitionBy("user_id").orderBy("ms").rangeBetween(-86400000, 0)
+    return e.select("event_id", F.sum(F.round(F.col("value") * 100).cast("long")).over(w).alias("cents"), F.count("*").over(w).alias("n"))
+
+
+@query("""with g as (select *, case when (epoch_us(ts) // 1000) - lag((epoch_us(ts) // 1000)) over w < 21600000 then 0 else 1 end as opens from events window w as (partition by user_id order by ts)),
+i as (select *, sum(opens) over (partition by user_id order by ts rows unbounded preceding) as k from g) select user_id, epoch_us(min(ts)) // 1000 as first_ms, count(*) as n from i group by user_id, k""")
+def R5_idle_sessions(spark, sf):
+    return windows.idle_sessions(read(spark, sf, "events"), "ts", "6 hours", ["user_id"])
