@@ -6,10 +6,10 @@ counts.  So the trained tables are bounded, while counts cover every training
 word.  A word never seen in training has the base model's probability of it in
 every state.  All probabilities of next tokens sum to one.
 
-Training starts from a warm-up on about ``WARM_BYTES`` of training text, which
-only breaks the symmetry between states; then each of ``ROUNDS`` Baum-Welch
-rounds covers all training documents: tasks run forward-backward over segments
-of ``SEGMENT`` tokens and emit expected counts, which Spark sums per class.
+Training starts from seeded random emissions.  Each of ``ROUNDS`` Baum-Welch
+rounds covers all training documents, whatever their number: tasks run
+forward-backward over segments of ``SEGMENT`` tokens and emit expected counts,
+which Spark sums per class.  The segments' classes are cut once for all rounds.
 
 Scoring needs each token's corpus count.  Documents are dealt into chunks of
 bounded size, a chunk's distinct words are joined with the count table, and the
@@ -41,9 +41,11 @@ STATES = 6
 CLASSES = 1 << 15
 END, UNSEEN = CLASSES, CLASSES + 1
 END_HASH = np.uint64(0x5EED0FE17D0C0DE5)
-ROUNDS = 2
-WARM_BYTES, WARM_ROUNDS = 4 << 20, 12
+ROUNDS = 14
 SEGMENT = 512
+RUN = 1 << 19  # tokens of the segments that advance together
+RESCALE = 8  # steps between scalings; a step takes no more than about ten digits
+TASK_BYTES = 64 << 20  # classes (two bytes a token) that a task of a round reads, where there are more tasks than cores
 BLOCK = 2048
 CHUNK_BYTES = 20 << 20
 HELD = 4_000_000  # distinct words that a task holds before it passes their counts on
@@ -105,39 +107,45 @@ class Model:
         emit = (emitted + PRIOR * base[:, None]) / (emitted.sum(0) + PRIOR)
         return cls(start, move, emit)
 
-    def expect(self, kind: np.ndarray, first: np.ndarray, sums: np.ndarray, moves: np.ndarray, starts: np.ndarray) -> None:
-        """Adds expected counts of documents cut into segments; a later segment starts evenly."""
-        size = np.diff(first)
-        pieces = -(-size // SEGMENT)
-        doc = np.repeat(np.arange(len(size)), pieces)
-        nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begin = first[:-1][doc] + nth * SEGMENT
-        length = np.minimum(first[1:][doc] - begin, SEGMENT)
-        order, active = _longest_first(length)
-        begin, nth = begin[order], nth[order]
+    def expect(self, kinds: np.ndarray, active: np.ndarray, heads: np.ndarray, sums: np.ndarray, moves: np.ndarray, starts: np.ndarray) -> None:
+        """Adds expected counts of a run of ``segments``; one that is not a document's first starts evenly.
+
+        Only the states' ratios count, so each class's emissions are divided by the largest.
+        """
         k = len(self.start)
-        alpha, scale = np.empty((len(kind), k)), np.empty(len(kind))
-        a = np.where((nth == 0)[:, None], self.start, 1.0 / k)
-        for t, m in enumerate(active.tolist()):
-            at = begin[:m] + t
-            a = (a[:m] @ self.move if t else a[:m]) * self.emit[kind[at]]
-            s = a.sum(1)
-            a /= s[:, None]
-            alpha[at], scale[at] = a, s
-        beta = np.ones((len(begin), k))
+        emit = np.ascontiguousarray((self.emit / np.maximum(self.emit.max(1, keepdims=True), 1e-300)).T)
+        e = emit.take(kinds, axis=1)
+        at = np.concatenate([[0], np.cumsum(active)]).tolist()
+        size = [*active.tolist(), 0]
+        alpha, scale = np.empty_like(e), {}
+        np.multiply(np.where(heads, self.start[:, None], 1.0 / k), e[:, : size[0]], out=alpha[:, : size[0]])
+        forth = np.ascontiguousarray(self.move.T)
+        for t in range(1, len(active)):
+            m = size[t]
+            a = forth @ alpha[:, at[t - 1] : at[t - 1] + m]
+            a *= e[:, at[t] : at[t + 1]]
+            if t % RESCALE == 0:
+                scale[t] = 1 / a.sum(0)
+                a *= scale[t]
+            alpha[:, at[t] : at[t + 1]] = a
+        beta = np.empty((k, size[0]))
+        found = np.zeros((k, k))
         for t in range(len(active) - 1, -1, -1):
-            m = active[t]
-            at = begin[:m] + t
-            if t:
-                w = self.emit[kind[at]] * beta[:m] / scale[at][:, None]
-                alpha[at] *= beta[:m]
-                moves += alpha[at - 1].T @ w * self.move
-                beta[:m] = w @ self.move.T
-            else:
-                alpha[at] *= beta[:m]
+            m, later = size[t], size[t + 1]
+            a = alpha[:, at[t] : at[t + 1]]
+            if later:
+                w = e[:, at[t + 1] : at[t + 1] + later] * beta[:, :later]
+                if t + 1 in scale:
+                    w *= scale[t + 1]
+                found += a[:, :later] @ w.T
+                beta[:, :later] = self.move @ w
+            if later < m:
+                beta[:, later:m] = 1 / a[:, later:].sum(0)
+            a *= beta[:, :m]
         for j in range(k):
-            sums[:, j] += np.bincount(kind, alpha[:, j], len(sums))
-        starts += alpha[begin[nth == 0]].sum(0)
+            sums[:, j] += np.bincount(kinds, alpha[j], len(sums))
+        moves += found * self.move
+        starts += alpha[:, : size[0]][:, heads].sum(1)
 
     def likelihood(self, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log10 probability of each document's classes by the scaled forward recursion."""
@@ -180,6 +188,38 @@ class Model:
         return total
 
 
+def segments(kind: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Documents cut into segments, in runs of about RUN tokens: classes step by step, segments with so many steps, which are heads.
+
+    The longest segments of a run come first, so that those with a step more are always the first ones.
+    """
+    size = np.diff(first)
+    pieces = -(-size // SEGMENT)
+    doc = np.repeat(np.arange(len(size)), pieces)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = first[:-1][doc] + nth * SEGMENT
+    length = np.minimum(first[1:][doc] - begin, SEGMENT)
+    order = np.argsort(-length, kind="stable")
+    run = (np.cumsum(length[order]) - length[order]) // RUN
+    for part in np.split(order, np.flatnonzero(np.diff(run)) + 1) if len(order) else ():
+        _, active = _longest_first(length[part])
+        step = np.repeat(np.arange(len(active)), active)
+        which = np.arange(len(step)) - np.repeat(np.cumsum(active) - active, active)
+        yield kind[begin[part][which] + step].astype(np.uint16), active.astype(np.int32), nth[part] == 0
+
+
+def cut_segments(texts: DataFrame) -> DataFrame:
+    """The runs of ``segments`` of the one text column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, first in token_runs(batch.column(0), 3):
+                for made in segments(classes(h), first):
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in made], names=["kinds", "active", "heads"])
+
+    return texts.mapInArrow(run, "kinds binary, active binary, heads binary")
+
+
 def count_tokens(texts: DataFrame) -> DataFrame:
     """(h, c): how often each token of the one text column occurs."""
 
@@ -221,31 +261,24 @@ class Corpus:
         return self.mass / max(self.mass.sum(), 1.0)
 
 
-def train(docs: DataFrame, corpus: Corpus, text: str = "text", doc_id: str = "doc_id", states: int = STATES, rounds: int = ROUNDS, seed: int = 5) -> Model:
-    """Baum-Welch on all rows of ``docs``."""
-    rows = docs.select(F.col(text).alias("text"))
+def train(docs: DataFrame, corpus: Corpus, text: str = "text", states: int = STATES, rounds: int = ROUNDS, seed: int = 5) -> Model:
+    """Baum-Welch on all rows of ``docs``, in every round."""
+    context = docs.sparkSession.sparkContext
+    cut = shared.settle(cut_segments(docs.select(F.col(text).alias("text"))), "segments")
+    rows = cut.coalesce(max(2 * context.defaultParallelism, -(-2 * corpus.n // TASK_BYTES)))
     base = corpus.base
     rng = np.random.default_rng(seed)
     empty = lambda: (np.zeros((CLASSES + 1, states)), np.zeros((states, states)), np.zeros(states))
     model = Model(np.full(states, 1 / states), np.full((states, states), (1 - STAY) / (states - 1)) + np.eye(states) * (STAY - (1 - STAY) / (states - 1)), base[:, None] * rng.uniform(0.5, 1.5, (CLASSES + 1, states)))
     model.emit /= np.maximum(model.emit.sum(0), 1e-300)
-    total = shared.text_bytes(rows, "text")
-    share = min(1.0, WARM_BYTES / max(total, 1))
-    warm = docs.where(F.pmod(F.xxhash64(F.lit(seed), doc_id), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.col(text).alias("text")).toArrow().column(0).combine_chunks()
-    cut = [tokens(data, offsets) for _, _, data, offsets in scan.slices(warm)]
-    for _ in range(WARM_ROUNDS if cut else 0):
-        sums, moves, starts = empty()
-        for h, first in cut:
-            model.expect(classes(h), first, sums, moves, starts)
-        model = Model.from_counts(starts, moves, sums, base)
 
     def counter(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = sent.value
             sums, moves, starts = empty()
             for batch in batches:
-                for h, first in token_runs(batch.column(0), 3):
-                    model.expect(classes(h), first, sums, moves, starts)
+                for made in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    model.expect(*(np.frombuffer(x, kind) for x, kind in zip(made, (np.uint16, np.int32, bool), strict=True)), sums, moves, starts)
             at = np.flatnonzero(sums.any(1))
             kind = np.concatenate([at, -1 - np.arange(states), [-1 - states]])
             rows = np.concatenate([sums[at], moves, starts[None]])
@@ -254,7 +287,7 @@ def train(docs: DataFrame, corpus: Corpus, text: str = "text", doc_id: str = "do
         return run
 
     for _ in range(rounds):
-        sent = docs.sparkSession.sparkContext.broadcast(model)
+        sent = context.broadcast(model)
         made = rows.mapInArrow(counter(sent), "kind long, " + ", ".join(f"s{j} double" for j in range(states)))
         got = made.groupBy("kind").agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(states))).toArrow()
         sums, moves, starts = empty()
@@ -265,6 +298,8 @@ def train(docs: DataFrame, corpus: Corpus, text: str = "text", doc_id: str = "do
                 moves[j] = values[kind == -1 - j].sum(0)
             starts = values[kind == -1 - states].sum(0)
         model = Model.from_counts(starts, moves, sums, base)
+        sent.destroy()
+    shared.discard(cut)
     return model
 
 

@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tamarind.llm import chat, components, contamination, cover_tree, hmm, jaccard, language, line_dedup, packing, queries, sharding, shared, url_filter
@@ -177,6 +178,41 @@ def test_hmm_likelihood(monkeypatch):
         assert math.log10(a.sum()) == pytest.approx(g)
 
 
+def test_hmm_expect(monkeypatch):
+    """Expected counts of segments equal the sums over all state paths, in several runs too."""
+    rng = np.random.default_rng(6)
+    k, n = 2, 4
+    monkeypatch.setattr(hmm, "SEGMENT", 11)
+    monkeypatch.setattr(hmm, "RUN", 15)
+    model = hmm.Model(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(n), k).T)
+    seqs = [rng.integers(0, n, m) for m in (1, 3, 11, 10, 13)]
+    got = np.zeros((n, k)), np.zeros((k, k)), np.zeros(k)
+    for made in hmm.segments(np.concatenate(seqs), np.concatenate([[0], np.cumsum([len(s) for s in seqs])])):
+        model.expect(*made, *got)
+    want = np.zeros((n, k)), np.zeros((k, k)), np.zeros(k)
+    for s, start in [(x[at : at + 11], model.start if at == 0 else np.full(k, 1 / k)) for x in seqs for at in range(0, len(x), 11)]:
+        paths = list(itertools.product(range(k), repeat=len(s)))
+        p = np.array([start[q[0]] * math.prod(model.move[a, b] for a, b in itertools.pairwise(q)) * math.prod(model.emit[c, j] for c, j in zip(s, q, strict=True)) for q in paths])
+        for q, weight in zip(paths, p / p.sum(), strict=True):
+            np.add.at(want[0], (s, list(q)), weight)
+            np.add.at(want[1], (list(q[:-1]), list(q[1:])), weight)
+            if start is model.start:
+                want[2][q[0]] += weight
+    for x, y in zip(got, want, strict=True):
+        assert x == pytest.approx(y)
+
+
+def test_hmm_trains_on_all_rows(spark):
+    """Every round covers all rows of a table over 4 MB: which ids they have, or whether any, changes nothing."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"{'ab'[i % 2]}{w}" for w in rng.zipf(1.3, 1500) % 5000) for i in range(1200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert shared.text_bytes(docs, "text") > 4 << 20
+    corpus = hmm.Corpus(docs.select("text"))
+    one, other = (hmm.train(d, corpus) for d in (docs, docs.withColumn("doc_id", F.lit(None).cast("long"))))
+    assert np.allclose(one.emit, other.emit, rtol=1e-3, atol=1e-9) and np.allclose(one.move, other.move, rtol=1e-3)
+
+
 def test_hmm_query(spark):
     rows = queries.QUERIES["op8_hmm"](spark, SF).collect()
     docs = {r.doc_id: (r.text or "").encode().lower().split() + [None] for r in shared.table(spark, SF, "documents").collect()}
