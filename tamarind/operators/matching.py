@@ -19,7 +19,8 @@ def match_topics(topics: DataFrame, filters: DataFrame) -> DataFrame:
     """Hash equi-join: a topic is masked with each distinct shape of filter and looked up by what it then reads.
 
     There are far fewer shapes than filters.  Their number is checked before
-    they are broadcast; beyond ``SHAPES`` they are joined by number of levels.
+    they are broadcast; beyond ``SHAPES`` they are joined by number of levels,
+    those that end in ``#`` by each number up to the deepest topic's.
     """
     filters = filters.withColumn("_plain", T.plain_filter(F.col("filter")))
     shapes = filters.select(T.shape(F.col("_plain")).alias("shape")).distinct()
@@ -30,7 +31,9 @@ def match_topics(topics: DataFrame, filters: DataFrame) -> DataFrame:
         tried = names.join(F.broadcast(shapes), F.lit(True))
     else:
         depth = shapes.withColumns({"many": F.endswith("shape", F.lit(T.MANY)), "depth": F.size(T.levels(F.col("shape")))})
-        depth = depth.withColumn("at", F.when(F.col("many"), F.sequence(F.col("depth") - 1, F.lit(64))).otherwise(F.array("depth"))).select("shape", F.explode("at").alias("at"))
+        deepest = names.agg(F.coalesce(F.max(F.size(T.levels(F.col("topic")))), F.lit(0))).first()[0]
+        below = F.when(F.col("depth") - 1 <= deepest, F.sequence(F.col("depth") - 1, F.greatest(F.col("depth") - 1, F.lit(deepest))))  # none for a shape that is deeper than all topics
+        depth = depth.withColumn("at", F.when(F.col("many"), below).otherwise(F.array("depth"))).select("shape", F.explode("at").alias("at"))
         tried = names.withColumn("at", F.size(T.levels(F.col("topic")))).join(depth, "at").drop("at")
     tried = tried.select("tenant", "topic", T.masked(F.col("topic"), F.col("shape")).alias("_plain")).where("_plain is not null")
     found = tried.join(filters, ["tenant", "_plain"]).drop("_plain")

@@ -36,6 +36,16 @@ def test_truth_table(spark, join, monkeypatch):
     assert {(r.filter, r.topic) for r in join(topics, filters).collect()} == want
 
 
+def test_deep_topics_of_many_shapes(spark, monkeypatch):
+    """With more shapes than may be broadcast, a # still reaches topics of any depth, and no topic has to be as deep as a filter."""
+    deep = "/".join(["a"] * 70)
+    topics = rows(spark, [("t", deep), ("t", "a/b")], "tenant string, topic string")
+    filters = rows(spark, [("t", f) for f in ("#", "a/#", "+/b", deep + "/#", deep + "/b/c/#")], "tenant string, filter string")
+    monkeypatch.setattr(matching, "SHAPES", 1)
+    want = {("#", deep), ("a/#", deep), (deep + "/#", deep), ("#", "a/b"), ("a/#", "a/b"), ("+/b", "a/b")}
+    assert {(r.filter, r.topic) for r in matching.match_topics(topics, filters).collect()} == want
+
+
 @pytest.mark.parametrize(("topic", "levels"), [("/", ["", ""]), ("a/", ["a", ""]), ("", [""]), ("a//b", ["a", "", "b"])])
 def test_levels(spark, topic, levels):
     assert spark.range(1).select(T.levels(F.lit(topic))).first()[0] == levels
