@@ -18,8 +18,10 @@ have a Jaccard similarity of ``percent`` hundredths or more.
    the links found have been joined into components, only pairs of different
    components that share a prefix n-gram remain.
    No group is expanded into all pairs, and no link between components is lost.
-4. Candidates are verified: fragments of their classes' sets count partial
-   overlaps separately, and the sums per pair decide exactly.
+4. Candidates are verified: of each pair the class with more pairs is the hub,
+   and a hub's pairs are dealt by their other class into groups of bounded
+   n-grams, which get the hub's set once each.  Fragments of a group's sets
+   count partial overlaps separately, and the sums per pair decide exactly.
 
 N-grams are compared by 64-bit hashes.
 
@@ -47,7 +49,7 @@ from .components import components
 FIRST = 4  # one in so many n-grams, by hash, is in the first fragments
 FRAGMENTS = 12  # at least; a number that followed the cluster's settings would cut documents finer for nothing
 FRAGMENT_BYTES = 48 << 20  # text for which there is one fragment in step 1
-PIECE = 400_000  # n-grams of a group of clusters that one fragment may hold in step 4
+PIECE = 400_000  # n-grams of a hub's other classes in a group, and of a set in a fragment, in step 4
 PARITY = 8  # words of 64 parity bits a class
 RECENT = 48  # earlier prefix n-grams of a class that are looked at to emit a pair once
 
@@ -208,46 +210,55 @@ def _joined_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _overlaps(key, sets, pairs):
-    """In one fragment of some clusters: the partial overlap of each candidate pair."""
+    """In one fragment of a group: the partial overlap of each candidate pair."""
     found = {d: np.frombuffer(x, np.uint64) for d, x in zip(sets.column("doc").to_pylist(), sets.column("grams").to_pylist(), strict=True)}
-    a, b = pairs.column("a").to_pylist(), pairs.column("b").to_pylist()
+    columns = [pairs.column(c).to_pylist() for c in ("a", "b", "na", "nb")]
     empty = np.zeros(0, np.uint64)
     both = []
     last, kinds = None, empty
-    for x, y in sorted(zip(a, b, strict=True)):
+    for x, y, nx, ny in sorted(zip(*columns, strict=True)):
         if x != last:
             last, kinds = x, found.get(x, empty)
         other = found.get(y, empty)
         if len(kinds) and len(other):
             at = np.minimum(np.searchsorted(kinds, other), len(kinds) - 1)
-            both.append((x, y, int((kinds[at] == other).sum())))
-    x, y, n = zip(*both, strict=True) if both else ((), (), ())
-    return pa.table({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64()), "part": pa.array(n, pa.int64())})
+            both.append((x, y, nx, ny, int((kinds[at] == other).sum())))
+    made = zip(*both, strict=True) if both else ((),) * 5
+    return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("a", "b", "na", "nb", "part"), made, strict=True)})
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links among candidate pairs (a, b): fragments count partial overlaps, which are summed per pair."""
-    clusters = components(pairs.select("a", "b"))
-    sized = sets.select("doc", "n").join(clusters, sets["doc"] == clusters["node"]).groupBy("component").agg(F.sum("n").alias("total"))
-    # small clusters share a group by hash; each cluster has as many fragments as keep a piece small, four at least
-    total = sized.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
-    groups = max(1, total // (2 * PIECE), shared.partitions(pairs.sparkSession))
-    plan = clusters.join(sized, "component").select("node", F.when(F.col("total") > PIECE, F.xxhash64("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(groups))).alias("group"), F.greatest(F.lit(4), F.ceil(F.col("total") / PIECE)).cast("int").alias("fragments"))
-    plan = shared.settle(plan, "clusters")
-    cut = sets.join(plan, sets["doc"] == plan["node"]).select("doc", "grams", "fragments", "group")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("pairs"))
+    nodes = shared.settle(ends.join(sets.select("doc", "n"), ends["node"] == F.col("doc")).select("node", "n", "pairs"), "nodes")
+    # sets that could link have sizes within ``percent``, so a hub's size bounds those of its other classes
+    total = nodes.agg(F.coalesce(F.sum(F.col("n") * F.col("pairs")), F.lit(0))).first()[0]
+    groups = max(1, total // (4 * PIECE), shared.partitions(pairs.sparkSession))
+    end = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.struct("pairs", (-F.col("node")).alias("low"), "n").alias(f"rank_{c}"))
+    sized = pairs.select("a", "b").join(end("a"), "a").join(end("b"), "b")
+    sized = sized.withColumn("hub", F.greatest("rank_a", "rank_b")).withColumn("other", F.when(F.col("hub.low") == -F.col("a"), F.col("b")).otherwise(F.col("a")))
+    held = F.col("hub.pairs") * F.col("hub.n")
+    bucket = F.pmod(F.xxhash64("other"), F.ceil(held / PIECE))
+    large = (held > PIECE) | (F.col("hub.n") > PIECE)
+    # small hubs share a group by hash
+    group = F.when(large, F.xxhash64("hub.low", bucket)).otherwise(F.pmod(F.xxhash64("hub.low"), F.lit(groups)))
+    asked = sized.select("a", "b", "na", "nb", group.alias("group"), F.greatest(F.lit(4), F.ceil(F.col("hub.n") / PIECE)).cast("int").alias("fragments"))
+    asked = shared.settle(asked, "asked")
+    sent = asked.select("group", "fragments", F.explode(F.array("a", "b")).alias("doc")).distinct()
+    cut = sets.select("doc", "grams").join(sent, "doc")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            group = dict(zip(batch.column("doc").to_pylist(), batch.column("group").to_pylist(), strict=True))
-            for made in _cut(iter([batch])):
-                yield _batch(group=pa.array([group[d] for d in made.column("doc").to_pylist()], pa.int64()), **{c: made.column(c) for c in made.schema.names})
+            doc, group = batch.column("doc"), batch.column("group")
+            rows = _batch(doc=np.arange(batch.num_rows), fragments=batch.column("fragments"), grams=batch.column("grams"))
+            for made in _cut(iter([rows])):
+                at = made.column("doc")
+                yield _batch(group=group.take(at), fragment=made.column("fragment"), doc=doc.take(at), grams=made.column("grams"))
 
     parts = _mapped(cut, pieces, "group long, fragment int, doc long, grams binary")
-    asked = pairs.join(plan, pairs["a"] == plan["node"]).select("group", F.explode(F.sequence(F.lit(0), F.col("fragments") - 1)).alias("fragment"), "a", "b")
-    counted = parts.groupBy("group", "fragment").cogroup(asked.groupBy("group", "fragment")).applyInArrow(_overlaps, "a long, b long, part long")
-    sums = counted.groupBy("a", "b").agg(F.sum("part").alias("both"))
-    sizes = sets.select("doc", "n")
-    sums = sums.join(sizes.select(F.col("doc").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("doc").alias("b"), F.col("n").alias("nb")), "b")
+    asked = asked.select("group", F.explode(F.sequence(F.lit(0), F.col("fragments") - 1)).alias("fragment"), "a", "b", "na", "nb")
+    counted = parts.groupBy("group", "fragment").cogroup(asked.groupBy("group", "fragment")).applyInArrow(_overlaps, "a long, b long, na long, nb long, part long")
+    sums = counted.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
     return sums.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 

@@ -163,6 +163,24 @@ def test_viterbi_brute():
         assert value(path) == pytest.approx(max(map(value, itertools.product(range(3), repeat=n))), abs=1e-4)
 
 
+def test_jaccard_hub_pairs_are_split(spark, monkeypatch):
+    """Near copies around one hub: no task gets all of the hub's pairs, and all links are found."""
+    rng = np.random.default_rng(9)
+    hub = np.unique(rng.integers(0, 1 << 63, 100, dtype=np.uint64) * np.uint64(2))
+    sets = [hub, *(np.sort(np.append(hub[1:], np.uint64(2 * i + 1))) for i in range(300)), *(np.sort(np.append(hub[60:], rng.integers(0, 1 << 63, 60, dtype=np.uint64))) for _ in range(20))]
+    frame = spark.createDataFrame([(i, len(x), x.tobytes()) for i, x in enumerate(sets)], "doc long, n long, grams binary")
+    pairs = spark.createDataFrame([(0, i) for i in range(1, len(sets))], "a long, b long")
+    plain = jaccard._overlaps
+
+    def bounded(key, left, right):
+        assert right.num_rows < 100
+        return plain(key, left, right)
+
+    monkeypatch.setattr(jaccard, "PIECE", 2000)
+    monkeypatch.setattr(jaccard, "_overlaps", bounded)
+    assert sorted(tuple(r) for r in jaccard._verified(pairs, frame, 80).collect()) == [(0, i) for i in range(1, 301)]
+
+
 def test_hmm_likelihood(monkeypatch):
     """The blocked recursion equals the plain one, and all next tokens sum to one."""
     rng = np.random.default_rng(4)
