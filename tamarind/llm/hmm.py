@@ -7,9 +7,12 @@ word.  A word never seen in training has the base model's probability of it in
 every state.  All probabilities of next tokens sum to one.
 
 Training starts from seeded random emissions.  Each of ``ROUNDS`` Baum-Welch
-rounds covers all training documents, whatever their number: tasks run
-forward-backward over segments of ``SEGMENT`` tokens and emit expected counts,
-which Spark sums per class.  The segments' classes are cut once for all rounds.
+rounds covers all training documents, whatever their number and length: tasks
+run forward-backward over whole texts and emit expected counts, which Spark
+sums per class.  So that long texts advance beside each other, they are cut into
+segments; each later segment's transfer matrix gives the exact forward state it
+is entered with and the exact backward state it is left with, so the counts are
+those of the uncut text.  The segments' classes are cut once for all rounds.
 
 Scoring needs each token's corpus count.  Documents are dealt into chunks of
 bounded size, a chunk's distinct words are joined with the count table, and the
@@ -42,13 +45,13 @@ CLASSES = 1 << 15
 END, UNSEEN = CLASSES, CLASSES + 1
 END_HASH = np.uint64(0x5EED0FE17D0C0DE5)
 ROUNDS = 14
-SEGMENT = 512
-RUN = 1 << 19  # tokens of the segments that advance together
+SEGMENT = 1536
+RUN = 1 << 19  # tokens of the documents that advance together; a longer document is a run of its own
 RESCALE = 8  # steps between scalings; a step takes no more than about ten digits
 TASK_BYTES = 64 << 20  # classes (two bytes a token) that a task of a round reads, where there are more tasks than cores
 BLOCK = 2048
-CHUNK_BYTES = 20 << 20
-HELD = 4_000_000  # distinct words that a task holds before it passes their counts on
+CHUNK_BYTES = 8 << 20  # text that a task of scoring holds
+HELD = 1_000_000  # distinct words that a task holds before it passes their counts on
 PRIOR = 2000.0  # words that the class distribution weighs in each state
 STAY = 0.95
 
@@ -107,8 +110,8 @@ class Model:
         emit = (emitted + PRIOR * base[:, None]) / (emitted.sum(0) + PRIOR)
         return cls(start, move, emit)
 
-    def expect(self, kinds: np.ndarray, active: np.ndarray, heads: np.ndarray, sums: np.ndarray, moves: np.ndarray, starts: np.ndarray) -> None:
-        """Adds expected counts of a run of ``segments``; one that is not a document's first starts evenly.
+    def expect(self, kinds: np.ndarray, active: np.ndarray, doc: np.ndarray, nth: np.ndarray, sums: np.ndarray, moves: np.ndarray, starts: np.ndarray) -> None:
+        """Adds the expected counts of a run of whole documents, given as ``segments`` makes it.
 
         Only the states' ratios count, so each class's emissions are divided by the largest.
         """
@@ -117,9 +120,10 @@ class Model:
         e = emit.take(kinds, axis=1)
         at = np.concatenate([[0], np.cumsum(active)]).tolist()
         size = [*active.tolist(), 0]
+        n, forth = size[0], np.ascontiguousarray(self.move.T)
+        lead, leave, entered, later = self._borders(e, at, active, doc, nth)
         alpha, scale = np.empty_like(e), {}
-        np.multiply(np.where(heads, self.start[:, None], 1.0 / k), e[:, : size[0]], out=alpha[:, : size[0]])
-        forth = np.ascontiguousarray(self.move.T)
+        np.multiply(lead, e[:, :n], out=alpha[:, :n])
         for t in range(1, len(active)):
             m = size[t]
             a = forth @ alpha[:, at[t - 1] : at[t - 1] + m]
@@ -128,24 +132,63 @@ class Model:
                 scale[t] = 1 / a.sum(0)
                 a *= scale[t]
             alpha[:, at[t] : at[t + 1]] = a
-        beta = np.empty((k, size[0]))
+        beta = np.empty((k, n))
         found = np.zeros((k, k))
         for t in range(len(active) - 1, -1, -1):
-            m, later = size[t], size[t + 1]
+            m, more = size[t], size[t + 1]
             a = alpha[:, at[t] : at[t + 1]]
-            if later:
-                w = e[:, at[t + 1] : at[t + 1] + later] * beta[:, :later]
+            if more:
+                w = e[:, at[t + 1] : at[t + 1] + more] * beta[:, :more]
                 if t + 1 in scale:
                     w *= scale[t + 1]
-                found += a[:, :later] @ w.T
-                beta[:, :later] = self.move @ w
-            if later < m:
-                beta[:, later:m] = 1 / a[:, later:].sum(0)
+                found += a[:, :more] @ w.T
+                beta[:, :more] = self.move @ w
+            if more < m:
+                beta[:, more:m] = leave[:, more:m] / (a[:, more:] * leave[:, more:m]).sum(0)
             a *= beta[:, :m]
+        if len(later):  # moves over the borders of segments
+            found += entered[:, later] @ (e[:, later] * beta[:, later]).T
         for j in range(k):
             sums[:, j] += np.bincount(kinds, alpha[j], len(sums))
         moves += found * self.move
-        starts += alpha[:, : size[0]][:, heads].sum(1)
+        starts += alpha[:, :n][:, nth == 0].sum(1)
+
+    def _borders(self, e: np.ndarray, at: list[int], active: np.ndarray, doc: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For each segment: the prior of its first state, what follows its last state, the state before it (all up to a factor); and the later segments.
+
+        A segment's transfer matrix leads from the state of its first token to
+        that of its last one; only documents of several segments need them.
+        """
+        k, n = len(self.start), len(doc)
+        lead, leave, entered = np.repeat(self.start[:, None], n, 1), np.ones((k, n)), np.zeros((k, n))
+        many = np.flatnonzero(np.isin(doc, doc[nth > 0]))
+        if not len(many):
+            return lead, leave, entered, many
+        forth = np.ascontiguousarray(self.move.T)
+        matrix = np.zeros((k, k, len(many)))  # from, to, segment
+        matrix[np.arange(k), np.arange(k)] = e[:, many]
+        for t in range(1, len(active)):
+            m = int(np.searchsorted(many, active[t]))  # segments are in order of length
+            if not m:
+                break
+            a = np.matmul(forth, matrix[:, :, :m]) * e[:, at[t] + many[:m]]
+            if t % RESCALE == 0:
+                a /= a.sum((0, 1))
+            matrix[:, :, :m] = a
+        number = nth[many]
+        order = np.lexsort((number, doc[many]))
+        before = np.empty(len(many), np.int64)  # the segment before, among the many
+        before[order[1:]] = order[:-1]
+        by_number = [np.flatnonzero(number == x) for x in range(int(number.max()) + 1)]
+        for now in by_number[1:]:
+            then = before[now]
+            end = np.einsum("in,ijn->jn", lead[:, many[then]], matrix[:, :, then])
+            entered[:, many[now]] = end / end.sum(0)
+            lead[:, many[now]] = forth @ entered[:, many[now]]
+        for now in reversed(by_number[1:]):
+            follow = self.move @ np.einsum("ijn,jn->in", matrix[:, :, now], leave[:, many[now]])
+            leave[:, many[before[now]]] = follow / follow.sum(0)
+        return lead, leave, entered, many[number > 0]
 
     def likelihood(self, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log10 probability of each document's classes by the scaled forward recursion."""
@@ -188,24 +231,27 @@ class Model:
         return total
 
 
-def segments(kind: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Documents cut into segments, in runs of about RUN tokens: classes step by step, segments with so many steps, which are heads.
+def segments(kind: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs of whole documents of about RUN tokens, cut into segments: classes step by step, segments with so many steps, each segment's document and number in it.
 
     The longest segments of a run come first, so that those with a step more are always the first ones.
     """
     size = np.diff(first)
-    pieces = -(-size // SEGMENT)
-    doc = np.repeat(np.arange(len(size)), pieces)
-    nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    begin = first[:-1][doc] + nth * SEGMENT
-    length = np.minimum(first[1:][doc] - begin, SEGMENT)
-    order = np.argsort(-length, kind="stable")
-    run = (np.cumsum(length[order]) - length[order]) // RUN
-    for part in np.split(order, np.flatnonzero(np.diff(run)) + 1) if len(order) else ():
-        _, active = _longest_first(length[part])
+    longest = np.argsort(-size, kind="stable")
+    run = (np.cumsum(size[longest]) - size[longest]) // RUN
+    for docs in np.split(longest, np.flatnonzero(np.diff(run)) + 1) if len(longest) else ():
+        pieces = -(-size[docs] // SEGMENT)
+        doc = np.repeat(docs, pieces)
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = first[:-1][doc] + nth * SEGMENT
+        length = np.minimum(first[1:][doc] - begin, SEGMENT)
+        order, active = _longest_first(length)
         step = np.repeat(np.arange(len(active)), active)
         which = np.arange(len(step)) - np.repeat(np.cumsum(active) - active, active)
-        yield kind[begin[part][which] + step].astype(np.uint16), active.astype(np.int32), nth[part] == 0
+        yield kind[begin[order][which] + step].astype(np.uint16), active.astype(np.int32), doc[order].astype(np.int32), nth[order].astype(np.int32)
+
+
+RUN_COLUMNS = {"kinds": np.uint16, "active": np.int32, "doc": np.int32, "nth": np.int32}
 
 
 def cut_segments(texts: DataFrame) -> DataFrame:
@@ -213,11 +259,12 @@ def cut_segments(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, first in token_runs(batch.column(0), 3):
+            for h, first in token_runs(batch.column(0), 4):
                 for made in segments(classes(h), first):
-                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in made], names=["kinds", "active", "heads"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in made], names=list(RUN_COLUMNS))
+            scan.release()
 
-    return texts.mapInArrow(run, "kinds binary, active binary, heads binary")
+    return texts.mapInArrow(run, ", ".join(f"{c} binary" for c in RUN_COLUMNS))
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
@@ -278,8 +325,9 @@ def train(docs: DataFrame, corpus: Corpus, text: str = "text", states: int = STA
             sums, moves, starts = empty()
             for batch in batches:
                 for made in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    model.expect(*(np.frombuffer(x, kind) for x, kind in zip(made, (np.uint16, np.int32, bool), strict=True)), sums, moves, starts)
+                    model.expect(*(np.frombuffer(x, kind) for x, kind in zip(made, RUN_COLUMNS.values(), strict=True)), sums, moves, starts)
             at = np.flatnonzero(sums.any(1))
+            scan.release()
             kind = np.concatenate([at, -1 - np.arange(states), [-1 - states]])
             rows = np.concatenate([sums[at], moves, starts[None]])
             yield pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(np.ascontiguousarray(rows[:, j])) for j in range(states))], names=["kind", *(f"s{j}" for j in range(states))])
@@ -303,36 +351,50 @@ def train(docs: DataFrame, corpus: Corpus, text: str = "text", states: int = STA
     return model
 
 
-def score(docs: DataFrame, corpus: Corpus, model: Model, text: str = "text") -> DataFrame:
-    """Adds n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) to ``docs``."""
+def score(docs: DataFrame, corpus: Corpus, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Adds n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) to ``docs``, or to the columns ``keep`` of it."""
     spark = docs.sparkSession
     result = T.StructType.fromDDL("n_tokens long, n_known long, train_tokens long, base_score double, score double")
     docs = docs.drop(*result.names)
+    kept = [c for c in docs.columns if keep is None or c in keep]
+    number = shared.fresh_name(docs, "_chunk")
     count = max(shared.partitions(spark), -(-shared.text_bytes(docs, text) // CHUNK_BYTES))
-    dealt = docs.withColumn("_chunk", F.pmod(F.xxhash64(*[c for c, kind in docs.dtypes if not kind.startswith("map")]), F.lit(count)).cast("int")).repartition("_chunk")
+    dealt = docs.withColumn(number, F.pmod(F.xxhash64(*[c for c, kind in docs.dtypes if not kind.startswith("map")]), F.lit(count)).cast("int")).repartition(number)
     unseen = 0.5 / corpus.whole
     emit = np.concatenate([model.emit * (1 - unseen), np.full((1, len(model.start)), unseen)])
     sent = spark.sparkContext.broadcast((Model(model.start, model.move, emit), corpus.mass, corpus.whole, corpus.n))
     where, at = docs.columns.index(text), len(docs.columns)
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct words of each chunk, as far as ``HELD`` of them allow."""
+        held: dict[int, list[np.ndarray]] = {}
+
+        def merged() -> Iterator[pa.RecordBatch]:
+            for c, parts in held.items():
+                kinds = np.unique(np.concatenate(parts))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), c, np.int32)), pa.array(kinds.view(np.int64))], names=["chunk", "h"])
+            held.clear()
+
         for batch in batches:
             chunk = batch.column(at).to_numpy()
             for row, end, data, offsets in scan.slices(batch.column(where)):
                 h, first = tokens(data, offsets)
                 of = np.repeat(chunk[row:end], np.diff(first))
                 for c in np.unique(chunk[row:end]).tolist():
-                    kinds = np.unique(h[of == c])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), c, np.int32)), pa.array(kinds.view(np.int64))], names=["_chunk", "h"])
+                    held.setdefault(c, []).append(np.unique(h[of == c]))
+                if sum(len(x) for parts in held.values() for x in parts) > HELD:
+                    yield from merged()
+            scan.release()
+        yield from merged()
 
-    counts = dealt.mapInArrow(distinct, "_chunk int, h long").join(corpus.table, "h").select("_chunk", "h", "c")
+    counts = dealt.mapInArrow(distinct, "chunk int, h long").join(corpus.table, "h").select("chunk", "h", "c")
 
     def judge(docs, counts):
         model, mass, whole, trained = sent.value
         known, pick = np.unique(counts.column("h").to_numpy().view(np.uint64), return_index=True)
         often = counts.column("c").to_numpy()[pick]
         out: list[list[np.ndarray]] = [[], [], [], []]
-        for h, first in token_runs(docs.column(where), 4):
+        for h, first in token_runs(docs.column(where), 2):
             c = np.zeros(len(h))
             if len(known):
                 k = np.minimum(np.searchsorted(known, h), len(known) - 1)
@@ -345,10 +407,11 @@ def score(docs: DataFrame, corpus: Corpus, model: Model, text: str = "text") ->
                 got.append(x)
         n_tokens, n_known, base, total = (np.concatenate(x) for x in out)
         made = [pa.array(n_tokens), pa.array(n_known), pa.array(np.full(len(n_tokens), trained, np.int64)), pa.array(base), pa.array(total)]
-        return pa.Table.from_arrays([*docs.columns[:at], *made], names=[*docs.column_names[:at], *result.names])
+        scan.release()
+        return pa.Table.from_arrays([*(docs.column(docs.column_names.index(c)) for c in kept), *made], names=[*kept, *result.names])
 
-    schema = T.StructType([*docs.schema.fields, *result.fields])
-    both = dealt.groupBy("_chunk").cogroup(counts.groupBy("_chunk"))
+    schema = T.StructType([*(docs.schema[c] for c in kept), *result.fields])
+    both = dealt.groupBy(number).cogroup(counts.groupBy("chunk"))
     return both.applyInArrow(lambda left, right: judge(left, right) if left.num_rows else schema_table(schema), schema)
 
 
@@ -362,5 +425,5 @@ def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
     taught = docs.where(~held_out())
     corpus = Corpus(taught.select("text"))
-    out = score(docs, corpus, train(taught, corpus))
+    out = score(docs, corpus, train(taught, corpus), keep=["doc_id"])
     return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -196,26 +196,27 @@ def test_hmm_likelihood(monkeypatch):
         assert math.log10(a.sum()) == pytest.approx(g)
 
 
-def test_hmm_expect(monkeypatch):
-    """Expected counts of segments equal the sums over all state paths, in several runs too."""
+@pytest.mark.parametrize(("segment", "run"), [(3, 15), (4, 1000), (50, 30)])
+def test_hmm_expect(monkeypatch, segment, run):
+    """Expected counts, whatever the segments, equal the sums over all state paths of whole documents."""
     rng = np.random.default_rng(6)
     k, n = 2, 4
-    monkeypatch.setattr(hmm, "SEGMENT", 11)
-    monkeypatch.setattr(hmm, "RUN", 15)
+    monkeypatch.setattr(hmm, "SEGMENT", segment)
+    monkeypatch.setattr(hmm, "RUN", run)
+    monkeypatch.setattr(hmm, "RESCALE", 2)
     model = hmm.Model(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(n), k).T)
-    seqs = [rng.integers(0, n, m) for m in (1, 3, 11, 10, 13)]
+    seqs = [rng.integers(0, n, m) for m in (1, 3, 11, 10, 13, 4, 8)]
     got = np.zeros((n, k)), np.zeros((k, k)), np.zeros(k)
     for made in hmm.segments(np.concatenate(seqs), np.concatenate([[0], np.cumsum([len(s) for s in seqs])])):
         model.expect(*made, *got)
     want = np.zeros((n, k)), np.zeros((k, k)), np.zeros(k)
-    for s, start in [(x[at : at + 11], model.start if at == 0 else np.full(k, 1 / k)) for x in seqs for at in range(0, len(x), 11)]:
+    for s in seqs:
         paths = list(itertools.product(range(k), repeat=len(s)))
-        p = np.array([start[q[0]] * math.prod(model.move[a, b] for a, b in itertools.pairwise(q)) * math.prod(model.emit[c, j] for c, j in zip(s, q, strict=True)) for q in paths])
+        p = np.array([model.start[q[0]] * math.prod(model.move[a, b] for a, b in itertools.pairwise(q)) * math.prod(model.emit[c, j] for c, j in zip(s, q, strict=True)) for q in paths])
         for q, weight in zip(paths, p / p.sum(), strict=True):
             np.add.at(want[0], (s, list(q)), weight)
             np.add.at(want[1], (list(q[:-1]), list(q[1:])), weight)
-            if start is model.start:
-                want[2][q[0]] += weight
+            want[2][q[0]] += weight
     for x, y in zip(got, want, strict=True):
         assert x == pytest.approx(y)
 
