@@ -8,9 +8,12 @@ have a Jaccard similarity of ``percent`` hundredths or more.
 1. The first quarter of the hash order is cut into fragments, which count the
    n-grams that only one document has.  A document with more of these than a
    partner could lack links with nothing; most documents end here, exactly.
+   N-grams that several documents of a batch have are sent once, without them.
 2. Documents with equal sets become one class.  The classes' whole sets are cut
-   into fragments, which give each n-gram's document frequency; n-grams of one
-   class can't be shared and are left out.  The same bound is applied again.
+   into fragments, which count each n-gram's document frequency from tallies of
+   batches; n-grams of one class can't be shared and are left out.  Classes look
+   their frequencies up in groups of bounded size: a fragment with a hot n-gram
+   is dealt over several.  The same bound is applied again.
 3. The global order is now rare n-grams first.  Classes that could link share
    an n-gram of their prefixes; length bounds use the n-grams left, and parity
    bits of the whole sets bound their symmetric difference from below.  A class
@@ -27,9 +30,10 @@ N-grams are compared by 64-bit hashes.
 
 Defined cases: null and empty texts and texts without words have an empty set
 and link with nothing; a text with fewer words than the shingle size is one
-n-gram.  Rows that repeat an id are one document; if their texts differ, it has
-the largest set's size and links by the set of least digest.  Rows without an
-id are left out.  An empty table gives no rows.  Only the named columns are read.
+n-gram.  Every row is a document of its own and gets a row back, also where ids
+are null, repeated or not integers; a component's id is the least one in it, and
+null only where all its rows lack one.  An empty table gives no rows.  Only the
+named columns are read.
 """
 
 from __future__ import annotations
@@ -48,7 +52,10 @@ from .components import components
 
 FIRST = 4  # one in so many n-grams, by hash, is in the first fragments
 FRAGMENTS = 12  # at least; a number that followed the cluster's settings would cut documents finer for nothing
-FRAGMENT_BYTES = 48 << 20  # text for which there is one fragment in step 1
+FRAGMENT_BYTES = 24 << 20  # text for which there is one fragment in step 1
+TALLY_GRAMS = 2_000_000  # n-grams that a task holds before it sends them to their fragments
+CLASS_GRAMS = 1_000_000  # n-grams of classes for which there is one fragment in step 2
+GROUP_GRAMS = 2_000_000  # n-grams of classes that look up their frequencies together
 PIECE = 400_000  # n-grams of a hub's other classes in a group, and of a set in a fragment, in step 4
 PARITY = 8  # words of 64 parity bits a class
 RECENT = 48  # earlier prefix n-grams of a class that are looked at to emit a pair once
@@ -71,56 +78,65 @@ def _fragments(hashes: np.ndarray, count: int, zone: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(count * zone) >> np.uint64(32)).astype(np.int64)
 
 
+def _runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of the runs of equal values."""
+    edges = np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1, [len(x)]]).tolist()
+    return list(zip(edges[:-1], edges[1:], strict=True)) if len(x) else []
+
+
+def _flat(column, kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in column.to_pylist())])
+
+
 def _lone(frame: pa.Table) -> pa.Table:
-    """In one fragment: how many n-grams of each document no other document has."""
-    docs = [np.frombuffer(x, np.int64) for x in frame.column("docs").to_pylist()]
-    facts = [np.frombuffer(x, np.int64).reshape(2, -1) for x in frame.column("sizes").to_pylist()]
-    each = [np.frombuffer(x, np.int32) for x in frame.column("counts").to_pylist()]
-    hashes = np.concatenate([np.frombuffer(x, np.uint64) for x in frame.column("hashes").to_pylist()])
-    docs, (words, sums), each = np.concatenate(docs), np.concatenate(facts, axis=1), np.concatenate(each)
-    order = np.argsort(hashes)
-    h = hashes[order]
-    same = h[1:] == h[:-1]
-    lone = np.ones(len(h), bool)
-    lone[1:] &= ~same
-    lone[:-1] &= ~same
-    owner = np.repeat(np.arange(len(docs)), each)
-    dead = np.bincount(owner[order[lone]], minlength=len(docs))
-    return pa.table({"doc": docs, "n": words, "sum": sums, "dead": dead.astype(np.int64)})
+    """In one fragment: how many n-grams of each document no other document has; and the set sizes that were sent to it."""
+    owners = [np.frombuffer(d, np.int64)[np.frombuffer(x, np.int32)] for d, x in zip(frame.column("docs").to_pylist(), frame.column("owners").to_pylist(), strict=True)]
+    kinds, at, times = np.unique(_flat(frame.column("lone"), np.uint64), return_index=True, return_counts=True)
+    many = np.unique(_flat(frame.column("many"), np.uint64))
+    alone = times == 1
+    if len(many):
+        alone &= many[np.minimum(np.searchsorted(many, kinds), len(many) - 1)] != kinds
+    docs, dead = np.unique(np.concatenate([np.zeros(0, np.int64), *owners])[at[alone]], return_counts=True)
+    sized, n = _flat(frame.column("sized"), np.int64), _flat(frame.column("sizes"), np.int64)
+    return pa.table({"doc": np.concatenate([docs, sized]), "n": pa.array(np.concatenate([np.zeros(len(docs), np.int64), n])), "dead": np.concatenate([dead.astype(np.int64), np.zeros(len(sized), np.int64)])})
 
 
 def _first_fragments(size: int, count: int):
+    none = np.zeros(0, np.int64)
+
+    def sent(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        """The n-grams held, by fragment: those that one document of them has with their owners, the others once and without."""
+        h, owner, docs, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        kinds, at, times = np.unique(h, return_index=True, return_counts=True)
+        owner, single, part = owner[at], times == 1, _fragments(kinds, count, FIRST)
+        out: dict[str, list] = {k: [] for k in ("docs", "owners", "lone", "many", "sized", "sizes")}
+        where = []
+        for a, b in _runs(part):
+            one = single[a:b]
+            few, index = np.unique(owner[a:b][one], return_inverse=True)
+            where.append(int(part[a]))
+            for name, x in zip(out, (few, index.astype(np.int32), kinds[a:b][one], kinds[a:b][~one], none, none), strict=True):
+                out[name].append(x)
+        where.append(int(docs[0] % count))  # all sizes go together to any one
+        for name, x in zip(out, (none, none, none, none, docs, n), strict=True):
+            out[name].append(x)
+        return _batch(fragment=pa.array(where, pa.int32()), **{k: _binary(x) for k, x in out.items()})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for row, end, data, offsets in scan.slices(batch.column(1)):
                 h, first = scan.shingles(scan.words(data, offsets), size)
                 n = np.diff(first)
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64)])
-                facts = np.stack([n, (sums[first[1:]] - sums[first[:-1]]).view(np.int64)])
-                doc = np.repeat(np.arange(end - row), n)
-                part = _fragments(h, count, FIRST)
-                keep = part < count
-                # documents without an n-gram there still need a row for their size
-                none = np.flatnonzero(np.bincount(doc[keep], minlength=end - row) == 0)
-                part_all = np.concatenate([part[keep], (ids[row:end][none] % count).astype(np.int64)])
-                doc_all = np.concatenate([doc[keep], none])
-                hash_all = np.concatenate([h[keep], np.zeros(len(none), np.uint64)])
-                real = np.concatenate([np.ones(int(keep.sum()), np.int32), np.zeros(len(none), np.int32)])
-                order = np.lexsort((doc_all, part_all))
-                part_all, doc_all, hash_all, real = part_all[order], doc_all[order], hash_all[order], real[order]
-                out: dict[str, list] = {k: [] for k in ("fragment", "docs", "sizes", "counts", "hashes")}
-                bounds = np.searchsorted(part_all, np.arange(count + 1))
-                for f in range(count):
-                    a, b = bounds[f], bounds[f + 1]
-                    if a < b:
-                        d, at = np.unique(doc_all[a:b], return_index=True)
-                        out["fragment"].append(f)
-                        out["docs"].append(ids[row:end][d].astype(np.int64))
-                        out["sizes"].append(np.ascontiguousarray(facts[:, d]))
-                        out["counts"].append(np.add.reduceat(real[a:b], at).astype(np.int32))
-                        out["hashes"].append(hash_all[a:b][real[a:b] > 0])
-                yield _batch(fragment=pa.array(out["fragment"], pa.int32()), docs=_binary(out["docs"]), sizes=_binary(out["sizes"]), counts=_binary(out["counts"]), hashes=_binary(out["hashes"]))
+                keep = _fragments(h, count, FIRST) < count
+                held.append((h[keep], np.repeat(ids[row:end], n)[keep], ids[row:end], n.astype(np.int64)))
+                if sum(len(x[0]) for x in held) > TALLY_GRAMS:
+                    yield sent(held)
+            scan.release()
+        if held:
+            yield sent(held)
 
     return run
 
@@ -159,29 +175,50 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[str, list] = {k: [] for k in ("fragment", "doc", "grams")}
         for doc, raw, count in zip(docs, batch.column("grams").to_pylist(), counts, strict=True):
             h = np.frombuffer(raw, np.uint64)
-            bounds = np.searchsorted(_fragments(h, count, 1), np.arange(count + 1))
-            for f in np.flatnonzero(np.diff(bounds)).tolist():
-                out["fragment"].append(f)
+            part = _fragments(h, count, 1)
+            for a, b in _runs(part):
+                out["fragment"].append(int(part[a]))
                 out["doc"].append(doc)
-                out["grams"].append(h[bounds[f] : bounds[f + 1]])
+                out["grams"].append(h[a:b])
         yield _batch(fragment=pa.array(out["fragment"], pa.int32()), doc=pa.array(out["doc"], pa.int64()), grams=_binary(out["grams"]))
 
 
-def _shared(frame: pa.Table) -> pa.Table:
-    """In one fragment: each class's n-grams that another class has too, with their frequencies."""
-    docs = frame.column("doc").to_pylist()
-    pieces = [np.frombuffer(x, np.uint64) for x in frame.column("grams").to_pylist()]
-    kinds, kind, df = np.unique(np.concatenate(pieces), return_inverse=True, return_counts=True)
-    at = np.cumsum([0, *map(len, pieces)])
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each fragment's n-grams in a batch, once each, with their number of classes."""
+    for batch in batches:
+        part = np.repeat(batch.column("fragment").to_numpy(), [len(x) // 8 for x in batch.column("grams").to_pylist()])
+        h = _flat(batch.column("grams"), np.uint64)
+        order = np.lexsort((h, part))
+        h, part = h[order], part[order]
+        new = np.flatnonzero(np.concatenate([np.ones(min(len(h), 1), bool), (h[1:] != h[:-1]) | (part[1:] != part[:-1])]))
+        times = np.diff(np.append(new, len(h)))
+        h, part = h[new], part[new]
+        runs = _runs(part)
+        yield _batch(fragment=pa.array([part[a] for a, _ in runs], pa.int32()), grams=_binary([h[a:b] for a, b in runs]), times=_binary([times[a:b].astype(np.int64) for a, b in runs]))
+        scan.release()
+
+
+def _frequencies(frame: pa.Table) -> pa.Table:
+    """In one fragment: the n-grams of more than one class with their frequencies, and over how many groups its classes are dealt."""
+    kinds, of = np.unique(_flat(frame.column("grams"), np.uint64), return_inverse=True)
+    times = np.bincount(of, _flat(frame.column("times"), np.int64), len(kinds)).astype(np.int64)
+    more = times > 1
+    return pa.table({"fragment": frame.column("fragment").slice(0, 1), "groups": pa.array([1 + int(times.sum()) // GROUP_GRAMS], pa.int32()), "grams": _binary([kinds[more]]), "dfs": _binary([np.minimum(times[more], 2**31 - 1).astype(np.int32)])})
+
+
+def _shared(pieces: pa.Table, table: pa.Table) -> pa.Table:
+    """In one group: each class's n-grams that another class has too, with their frequencies."""
+    kinds, df = _flat(table.column("grams"), np.uint64), _flat(table.column("dfs"), np.int32)
     out: dict[str, list] = {"doc": [], "live": [], "grams": [], "dfs": []}
-    for k, doc in enumerate(docs):
-        n = df[kind[at[k] : at[k + 1]]]
-        live = n > 1
+    for doc, raw in zip(pieces.column("doc").to_pylist(), pieces.column("grams").to_pylist(), strict=True) if len(kinds) else ():
+        h = np.frombuffer(raw, np.uint64)
+        at = np.minimum(np.searchsorted(kinds, h), len(kinds) - 1)
+        live = kinds[at] == h
         if live.any():
             out["doc"].append(doc)
             out["live"].append(int(live.sum()))
-            out["grams"].append(pieces[k][live])
-            out["dfs"].append(n[live].astype(np.int32))
+            out["grams"].append(h[live])
+            out["dfs"].append(df[at[live]])
     return pa.table({"doc": pa.array(out["doc"], pa.int64()), "live": pa.array(out["live"], pa.int64()), "grams": _binary(out["grams"]), "dfs": _binary(out["dfs"])})
 
 
@@ -277,28 +314,48 @@ def _feasible(x: str, y: str, percent: int, first: bool):
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id (least id reachable by links, itself included) of each id."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    known = rows.where("doc is not null")
+    """doc_id, n_shingles and component_id (least id reachable by links, itself included) of each row."""
+    rows, back = shared.numbered(docs, doc_id, "doc", text)
+    found = linked_rows(rows.select("doc", F.col(text).alias("text")), size, percent)
+    out = shared.least_ids(found, back, "doc", "component", doc_id, "component_id")
+    return out.select(F.col(doc_id).alias("doc_id"), "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, but of each component only the one of least number: the least id, where ids are unique integers."""
+    number = shared.fresh_name(docs, "_node")
+    rows, back = shared.numbered(docs, doc_id, number, *docs.columns)
+    found = linked_rows(rows.select(F.col(number).alias("doc"), F.col(text).alias("text")), size, percent)
+    gone = found.where("doc <> component").select(F.col("doc").alias(number))
+    return rows.join(gone, number, "left_anti").select(*docs.columns)
+
+
+def linked_rows(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc, n_shingles, component) of all rows (doc, text), whose numbers must be unique."""
     least = F.ceil(F.col("n") * percent / 100.0).cast("long")  # overlap that a link needs at least
 
     # 1: bounds from the first fragments
     count = max(FRAGMENTS, -(-shared.text_bytes(rows, "text") // FRAGMENT_BYTES))
-    cut = _mapped(known, _first_fragments(size, count), "fragment int, docs binary, sizes binary, counts binary, hashes binary")
-    lone = cut.groupBy("fragment").applyInArrow(_lone, "doc long, n long, sum long, dead long")
-    docs_n = shared.settle(lone.groupBy("doc").agg(F.max("n").alias("n"), F.sum("dead").alias("dead"), (F.min("sum") != F.max("sum")).alias("mixed")), "bounds")
-    maybe = docs_n.where((F.col("n") > 0) & ((F.col("dead") <= F.col("n") - least) | F.col("mixed"))).select("doc")
+    cut = _mapped(rows, _first_fragments(size, count), "fragment int, docs binary, owners binary, lone binary, many binary, sized binary, sizes binary")
+    lone = cut.groupBy("fragment").applyInArrow(_lone, "doc long, n long, dead long")
+    docs_n = shared.settle(lone.groupBy("doc").agg(F.max("n").alias("n"), F.sum("dead").alias("dead")), "bounds")
+    maybe = docs_n.where((F.col("n") > 0) & (F.col("dead") <= F.col("n") - least)).select("doc")
 
     # 2: classes of equal sets, frequencies in all fragments
-    sets = shared.settle(_mapped(known.join(maybe.hint("merge"), "doc", "left_semi"), _sets(size), "doc long, n long, digest binary, odd array<long>, grams binary"), "sets").where("n > 0")
-    of = sets.groupBy("doc").agg(F.min(F.struct("digest", "n", "odd")).alias("d")).select("doc", "d.*")
-    member = of.groupBy("digest").agg(F.min("doc").alias("rep"))
-    member = shared.settle(of.join(member, "digest").select("doc", "rep", "digest", "n", "odd"), "classes")
-    reps = sets.join(member.where("doc = rep").select("doc", "digest").distinct(), ["doc", "digest"], "left_semi").dropDuplicates(["digest"])
-    pieces = max(FRAGMENTS, -(-(member.where("doc = rep").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // 2_000_000))
-    cut = _mapped(reps.select("doc", "grams", F.lit(pieces).alias("fragments")), _cut, "fragment int, doc long, grams binary")
-    live = shared.settle(cut.groupBy("fragment").applyInArrow(_shared, "doc long, live long, grams binary, dfs binary"), "live")
+    sets = shared.settle(_mapped(rows.join(maybe.hint("merge"), "doc", "left_semi"), _sets(size), "doc long, n long, digest binary, odd array<long>, grams binary"), "sets").where("n > 0")
+    classes = sets.groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("m"))
+    member = shared.settle(shared.join_counted(sets.select("doc", "digest", "n", "odd"), classes, "digest", "m").select("doc", "rep", "n", "odd"), "classes")
+    reps = sets.join(member.where("doc = rep").select("doc"), "doc", "left_semi")
+    pieces = max(FRAGMENTS, -(-(member.where("doc = rep").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // CLASS_GRAMS))
+    cut = shared.settle(_mapped(reps.select("doc", "grams", F.lit(pieces).alias("fragments")), _cut, "fragment int, doc long, grams binary"), "pieces")
+    counted = _mapped(cut, _tally, "fragment int, grams binary, times binary").groupBy("fragment").applyInArrow(_frequencies, "fragment int, groups int, grams binary, dfs binary")
+    counted = shared.settle(counted, "frequencies")
+    dealt = cut.join(counted.select("fragment", "groups"), "fragment").withColumn("group", F.pmod(F.xxhash64("doc"), F.col("groups")).cast("int"))
+    tables = counted.select("fragment", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "grams", "dfs")
+    live = dealt.select("fragment", "group", "doc", "grams").groupBy("fragment", "group").cogroup(tables.groupBy("fragment", "group")).applyInArrow(lambda x, y: _shared(x, y), "doc long, live long, grams binary, dfs binary")
+    live = shared.settle(live, "live")
+    shared.discard(cut)
+    shared.discard(counted)
     sizes = member.where("doc = rep").select("doc", "n", "odd")
     kept = live.groupBy("doc").agg(F.sum("live").alias("live")).join(sizes, "doc").withColumn("need", least).where("live >= need")
     whole = live.drop("live").join(kept, "doc").groupBy("doc", "n", "live", "need", "odd").agg(F.collect_list("grams").alias("grams"), F.collect_list("dfs").alias("dfs"))
@@ -306,7 +363,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # 3: candidates from prefixes
     prefix = shared.settle(_mapped(whole, _prefixes, "gram long, doc long, n long, live long, at long, weight double, odd array<long>, recent array<long>"), "prefixes")
     groups = prefix.groupBy("gram").agg(F.count("*").alias("m"), F.max(F.struct("weight", (-F.col("doc")).alias("low"), "doc", "n", "live", "at", "odd")).alias("hub")).where("m > 1")
-    tagged = prefix.join(groups, "gram")
+    tagged = shared.join_counted(prefix, groups, "gram", "m")
     star = tagged.where("doc <> hub.doc").select(F.struct("doc", "n", "live", "at", "odd").alias("x"), F.col("hub").alias("y")).where(_feasible("x", "y", percent, False))
     star = star.groupBy("x.doc").agg(F.max(F.struct("y.weight", "y.low", "y.doc")).alias("y")).select(F.least("doc", "y.doc").alias("a"), F.greatest("doc", "y.doc").alias("b"))
     tried = shared.settle(star.distinct(), "pairs")
@@ -314,8 +371,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     links = shared.settle(_verified(tried, grams, percent), "links")
     joined = shared.settle(components(links), "joined")
     labelled = tagged.drop("weight").join(joined, tagged["doc"] == joined["node"], "left").withColumn("comp", F.coalesce("component", "doc")).drop("node", "component")
-    hubs = labelled.where("doc = hub.doc").select("gram", F.col("comp").alias("main"))
-    labelled = labelled.drop("hub").join(hubs, "gram")
+    hubs = labelled.where("doc = hub.doc").select("gram", F.col("comp").alias("main"), "m")
+    labelled = shared.join_counted(labelled.drop("hub", "m"), hubs, "gram", "m")
     apart = labelled.where("comp <> main")
     first = ~F.arrays_overlap("x.recent", "y.recent")
     rest = apart.alias("x").join(labelled.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.doc") < F.col("y.doc"))) & _feasible("x", "y", percent, True) & first)
@@ -326,8 +383,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # components over classes, then over all documents
     same = member.where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     found = components(links.unionByName(more).unionByName(same))
+    for made in (live, prefix, tried, grams, joined, rest, links, more, member):
+        shared.discard(made)
     found = docs_n.select("doc", "n").join(found, docs_n["doc"] == found["node"], "left")
-    return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+    return found.select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component"))
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

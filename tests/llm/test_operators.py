@@ -72,9 +72,29 @@ def brute_jaccard(pairs, size, percent):
 
 
 def test_jaccard_odd(spark, odd, none):
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(odd).collect()}
-    assert got == brute_jaccard(ODD, 5, 80)
+    """Rows with null or repeated ids and ids that are strings all come back, with the least id of their component."""
+    want = {d: (len(sets([(d, t)], 5)[d]), 1 if (t or "").split() == list("abcdef") else 8 if d in (8, 9) else d) for d, t in ODD}
+    got = jaccard.jaccard_components(odd).collect()
+    assert sorted((repr(r.doc_id), r.n_shingles, r.component_id) for r in got) == sorted((repr(d), *want[d]) for d, _ in ODD)
+    named = odd.withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 3, "0")))
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(named).collect()} == {d and f"d{d:03}": f"d{c:03}" for d, (_, c) in want.items()}
+    unique = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(unique).collect()} == brute_jaccard(ODD, 5, 80)
     assert jaccard.jaccard_components(none).count() == 0
+    kept = jaccard.keep_one(odd)
+    assert kept.columns == odd.columns and kept.count() == len(ODD) - 4
+    assert jaccard.keep_one(unique).count() == len({c for _, c in brute_jaccard(ODD, 5, 80).values()})
+
+
+def test_hot_keys(spark, monkeypatch):
+    """Splitting hot n-grams, classes and keys changes no result."""
+    rng = np.random.default_rng(5)
+    pairs = [(d, " ".join([f"c{i}" for i in range(12)] + [f"r{x}" for x in rng.integers(0, 9 + d % 3, d % 4)])) for d in range(150)]
+    for name, value in (("GROUP_GRAMS", 40), ("TALLY_GRAMS", 100), ("CLASS_GRAMS", 50)):
+        monkeypatch.setattr(jaccard, name, value)
+    monkeypatch.setattr(shared, "HOT_ROWS", 3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(pairs, "doc_id long, text string"), size=4, percent=85).collect()}
+    assert got == brute_jaccard(pairs, 4, 85)
 
 
 def test_jaccard_large_near_group(spark):
