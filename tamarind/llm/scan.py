@@ -8,13 +8,14 @@ a longer document is a slice of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -32,13 +33,26 @@ WORD_CHARS[48:58] = WORD_CHARS[97:123] = WORD_CHARS[128:] = True
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POW[0]) < n:
-        size = max(n, SLICE_BYTES)
-        for k, base in enumerate((_P, _P_INV)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POW[k] = np.multiply.accumulate(steps)
-    return _POW[0][:n], _POW[1][:n]
+    """Powers of both bases; those of an ordinary slice are kept, longer ones are made for a long text and dropped."""
+    if len(_POW[0]) >= n:
+        return _POW[0][:n], _POW[1][:n]
+    made = []
+    for base in (_P, _P_INV):
+        steps = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps))
+    if n <= SLICE_BYTES + 1:
+        _POW[:] = made
+    return made[0][:n], made[1][:n]
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a reused Python worker would keep the peak of every stage it served."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
 
 
 def mix(h: np.ndarray) -> np.ndarray:
