@@ -10,9 +10,13 @@ groups plus its rank inside its own.  Sub-cells are hash ranges whose number
 follows the row count, so a cell that holds a third of all rows is ranked by
 many tasks and no global sort or single-partition window over rows is needed.
 
+Strings are quantised like numbers, by their place among all rows: the distinct
+values are counted, put in order by ranges, and the values at which the running
+count passes each quantile are the bounds.
+
 Defined cases: a null dimension is in its dimension's cell 0.  Repeated ids are
 placed one by one.  An empty table gives no rows.  Input columns that carry an
-output's name are replaced.
+output's name are replaced; other names don't matter.
 """
 
 from __future__ import annotations
@@ -21,27 +25,50 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import shared
 
 
 
-def ordinal(c: Column) -> Column:
-    """A string's first six bytes as a number in the same order."""
-    return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("long")
-
-
-def quantise(df: DataFrame, dims: dict[str, Column], bits: int) -> dict[str, Column]:
-    """Cells between approximate quantiles, which one aggregate row of ``2 ** bits - 1`` bounds a dimension gives."""
-    cuts = [k / 2**bits for k in range(1, 2**bits)]
-    row = df.agg(*(F.percentile_approx(c, cuts, 10000).alias(n) for n, c in dims.items())).first()
+def _string_bounds(values: DataFrame, cuts: int) -> list[str]:
+    """The values of the one string column at which the share of rows up to them passes each k / cuts."""
+    counts = values.toDF("v").where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    parts = shared.settle(counts.repartitionByRange(shared.partitions(values.sparkSession), "v").withColumn("part", F.spark_partition_id()), "values")
+    sums = sorted(tuple(r) for r in parts.groupBy("part").agg(F.sum("n")).collect())  # a row a partition
+    total, before, at = sum(n for _, n in sums), {}, 0
+    for part, n in sums:
+        before[part], at = at, at + n
+    if not total:
+        return []
+    start = F.element_at(F.create_map(*(F.lit(x) for pair in before.items() for x in pair)), F.col("part"))
+    upto = start + F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cell = lambda rank: F.call_function("div", rank * cuts, F.lit(total))
+    placed = parts.withColumn("upto", upto).where(cell(F.col("upto")) > cell(F.col("upto") - F.col("n")))
+    bounds = sorted(r[0] for r in placed.where(F.col("upto") < total).select("v").collect())  # fewer than ``cuts``
+    shared.discard(parts)
+    return bounds
+
+
+def quantise(df: DataFrame, dims: dict[str, str], bits: int) -> dict[str, Column]:
+    """Cells of columns between quantiles: of numbers approximate ones from one aggregate row, of strings exact ones."""
+    count = 2**bits
+    text = {n for n, c in dims.items() if isinstance(df.schema[c].dataType, T.StringType)}
+    cuts = [k / count for k in range(1, count)]
+    numbers = [F.percentile_approx(c, cuts, 10000).alias(n) for n, c in dims.items() if n not in text]
+    row = df.agg(*numbers).first() if numbers else {}
     cells = {}
     for n, c in dims.items():
-        bounds = F.array(*(F.lit(b) for b in sorted(set(row[n] or ())))).cast("array<double>")
-        cells[n] = F.coalesce(F.size(F.filter(bounds, lambda b, c=c: b <= c.cast("double"))), F.lit(0))
+        kind = "string" if n in text else "double"
+        found = _string_bounds(df.select(c), count) if n in text else sorted(set(row[n] or ()))
+        cells[n] = F.when(F.col(c).isNull(), 0).otherwise(_passed(F.array(*(F.lit(b) for b in found)).cast(f"array<{kind}>"), F.col(c).cast(kind)))
     return cells
 
 
+def _passed(bounds: Column, value: Column) -> Column:
+    return F.size(F.filter(bounds, lambda b: b <= value))
+
+
 def hilbert(cells: list[Column], bits: int) -> Column:
     """Index on the Hilbert curve, from the highest bit down, by rotated and reflected Gray codes."""
     n = len(cells)
@@ -71,31 +98,34 @@ def hilbert(cells: list[Column], bits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0)), zero, step, lambda acc: acc["h"])
 
 
-def hilbert_shards(df: DataFrame, dims: dict[str, Column], shards: int, order: list[Column], bits: int = 4) -> DataFrame:
+def hilbert_shards(df: DataFrame, dims: list[str], shards: int, order: list[str], bits: int = 4) -> DataFrame:
     """Adds curve (Hilbert index), shard and slot (rank in its shard); shard sizes differ by one row at most.
 
-    dims: numeric columns; ``order`` breaks ties inside a cell.
+    dims: columns of the curve; ``order``: columns that break ties inside a cell.
+    The rows are read for the quantiles and for their place, and written once with it.
     """
     df = df.drop("curve", "shard", "slot")
+    sub, rank, before = (shared.fresh_name(df, n) for n in ("_sub", "_rank", "_before"))
     total = df.count()
     subs = math.isqrt(total) + 1  # so neither a cell's sub-cells nor a sub-cell's rows grow faster than the root of all rows
-    cells = quantise(df, dims, bits)
-    placed = df.withColumns({f"_c{k}": c for k, c in enumerate(cells.values())})
-    placed = placed.withColumn("curve", hilbert([F.col(f"_c{k}") for k in range(len(dims))], bits)).withColumn("_sub", F.pmod(F.xxhash64(*order), F.lit(subs)))
-    placed = placed.drop(*(f"_c{k}" for k in range(len(dims))))
+    cells = quantise(df, {c: c for c in dims}, bits)
+    names = [shared.fresh_name(df, f"_c{k}") for k in range(len(dims))]
+    placed = df.withColumns(dict(zip(names, cells.values(), strict=True)))
+    placed = placed.withColumn("curve", hilbert([F.col(n) for n in names], bits)).withColumn(sub, F.pmod(F.xxhash64(*order), F.lit(subs)))
+    placed = shared.settle(placed.drop(*names), "curve")
     # prefix sums in three levels: runs of 256 cells, cells, sub-cells
-    groups = placed.groupBy("curve", "_sub").agg(F.count("*").alias("n"))
+    groups = shared.settle(placed.groupBy("curve", F.col(sub).alias("sub")).agg(F.count("*").alias("n")), "cells")
     by_cell = groups.groupBy("curve").agg(F.sum("n").alias("n")).withColumn("run", F.call_function("shiftright", F.col("curve"), F.lit(8)))
     by_run = by_cell.groupBy("run").agg(F.sum("n").alias("n"))
-    before = lambda *keys: F.coalesce(F.sum("n").over((Window.partitionBy(*keys[:-1]) if keys[:-1] else Window).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    by_run = by_run.select("run", before("run").alias("b0"))  # 2 ** (dims * bits - 8) rows at most
-    by_cell = by_cell.select("curve", "run", before("run", "curve").alias("b1")).join(by_run, "run").select("curve", (F.col("b0") + F.col("b1")).alias("b1"))
-    groups = groups.select("curve", "_sub", before("curve", "_sub").alias("b2")).join(by_cell, "curve").select("curve", "_sub", (F.col("b1") + F.col("b2")).alias("_before"))
-    ranked = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("curve", "_sub").orderBy(*order)) - 1)
-    ranked = ranked.join(groups, ["curve", "_sub"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    up = lambda *keys: F.coalesce(F.sum("n").over((Window.partitionBy(*keys[:-1]) if keys[:-1] else Window).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by_run = by_run.select("run", up("run").alias("b0"))  # 2 ** (dims * bits - 8) rows at most
+    by_cell = by_cell.select("curve", "run", up("run", "curve").alias("b1")).join(by_run, "run").select("curve", (F.col("b0") + F.col("b1")).alias("b1"))
+    groups = groups.select("curve", "sub", up("curve", "sub").alias("b2")).join(by_cell, "curve").select("curve", F.col("sub").alias(sub), (F.col("b1") + F.col("b2")).alias(before))
+    ranked = placed.withColumn(rank, F.row_number().over(Window.partitionBy("curve", sub).orderBy(*order)) - 1)
+    ranked = ranked.join(groups, ["curve", sub]).withColumn(rank, F.col(rank) + F.col(before))
     first = lambda s: F.call_function("div", s * total + (shards - 1), F.lit(shards))  # noqa: E731  least rank with rank * shards >= s * total
-    ranked = ranked.withColumn("shard", F.call_function("div", F.col("_rank") * shards, F.lit(max(total, 1))).cast("int"))
-    return ranked.withColumn("slot", F.col("_rank") - first(F.col("shard").cast("long"))).drop("_sub", "_rank", "_before")
+    ranked = ranked.withColumn("shard", F.call_function("div", F.col(rank) * shards, F.lit(max(total, 1))).cast("int"))
+    return ranked.withColumn("slot", F.col(rank) - first(F.col("shard").cast("long"))).select(*df.columns, "curve", "shard", "slot")
 
 
 def write_shards(placed: DataFrame, path: str, shards: int) -> None:
@@ -107,6 +137,6 @@ def op2_sharding(spark: SparkSession, sf_dir: str, shards: int = 24) -> DataFram
     docs = shared.table(spark, sf_dir, "documents")
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long")
     rows = docs.select("doc_id", "source", "lang", size.alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
-    dims = {"source": ordinal(F.col("source")), "lang": ordinal(F.col("lang")), "size": F.col("size")}
-    out = hilbert_shards(rows, dims, shards, [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
+    rows = shared.settle(rows, "metadata")  # the texts are read once
+    out = hilbert_shards(rows, ["source", "lang", "size"], shards, ["doc_id", "text_crc32", "size"])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve", "source", "lang")
