@@ -9,11 +9,15 @@ Template: ``### role: text</turn>`` and a newline per turn.  In roles and texts
 ``\\`` is written ``\\\\``, ``<`` as ``\\l``, ``#`` as ``\\h`` and ``:`` in roles as ``\\c``, so no
 control string can occur inside them and reading back is exact.
 
-Defined cases: null texts and roles are empty.  A node whose parent is null or
-missing is a root.  Nodes on a cycle have no root and are left out.  Repeated
-rows with the same key keep the least (role, text, score).  Rows with a null
-conversation or node id are left out.  An empty table gives no rows.  Only the named columns are
-read, so others can't clash.
+A linear table of turns becomes a tree by ``linked``, in which every row is a
+node: rows are numbered by turn, then role and text, null turns last.
+
+Defined cases: null texts and roles are empty.  The rows without a conversation
+id are one conversation.  A node whose parent is null or missing is a root.
+Nodes on a cycle have no root and are left out.  In a tree, rows that repeat a
+node's id keep the least (parent, role, text, score), as a child could not tell
+them apart, and rows without a node id are left out.  An empty table gives no
+rows.  Only the named columns are read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -39,10 +43,11 @@ def unescape(c: Column) -> Column:
 
 
 def linked(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """A linear table of turns as reply trees: each turn answers the one before it."""
-    rows = turns.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("node"), F.col(role).alias("role"), F.col(text).alias("text"))
-    rows = rows.groupBy("conv", "node").agg(F.min(F.struct("role", "text")).alias("m")).select("conv", "node", "m.role", "m.text")
-    return rows.withColumn("parent", F.lag("node").over(Window.partitionBy("conv").orderBy("node"))).withColumn("score", F.lit(0.0))
+    """A linear table of turns as reply trees: each row answers the one before it."""
+    rows = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+    place = F.row_number().over(Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_last(), "role", "text")).cast("long")
+    rows = rows.withColumn("node", place)
+    return rows.select("conv", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
 def chosen_paths(nodes: DataFrame, most: int = 1) -> DataFrame:
@@ -50,7 +55,8 @@ def chosen_paths(nodes: DataFrame, most: int = 1) -> DataFrame:
 
     nodes: conv, node, parent, score, role, text.  Ties go to the smaller leaf.
     """
-    nodes = nodes.where("conv is not null and node is not null").groupBy("conv", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m")).select("conv", "node", "m.*")
+    # in a struct, a null conversation id equals itself
+    nodes = nodes.where("node is not null").groupBy(F.struct("conv").alias("conv"), "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m")).select("conv", "node", "m.*")
     ids = nodes.select("conv", F.col("node").alias("parent"), F.lit(True).alias("there"))
     nodes = shared.settle(nodes.join(ids, ["conv", "parent"], "left").select("conv", "node", F.when(F.col("there"), F.col("parent")).alias("parent"), "role", "text", F.coalesce("score", F.lit(0.0)).alias("score")), "chat-nodes")
 
@@ -80,7 +86,7 @@ def chosen_paths(nodes: DataFrame, most: int = 1) -> DataFrame:
         high = reduce(DataFrame.unionByName, marks).where(F.col("depth") >= 1 << k)
         marks.append(shared.settle(high.join(jumps[k], ["conv", "node"]).select("conv", "path", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth")), "chat-marks"))
     path = reduce(DataFrame.unionByName, marks)
-    return path.join(nodes.select("conv", "node", "role", "text"), ["conv", "node"]).select("conv", "path", "depth", "role", "text")
+    return path.join(nodes.select("conv", "node", "role", "text"), ["conv", "node"]).select("conv.conv", "path", "depth", "role", "text")
 
 
 def format_paths(path: DataFrame, trained: str = "assistant") -> DataFrame:
