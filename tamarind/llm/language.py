@@ -30,6 +30,7 @@ from . import scan, shared
 
 BUCKETS = 1 << 15
 MODEL_MB = 256
+TOGETHER = 1 << 22  # bytes of text whose words are labelled together
 SWITCH = 12.0  # natural log units that a change of language costs
 SMOOTH = 0.5
 SCRIPT_SHARE = 0.002  # of a language's words, from which a script counts as its own
@@ -187,37 +188,43 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     sent = spark.sparkContext.broadcast(model)
     kinds = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
 
+    def labelled(column: pa.Array, model: Model) -> list[list]:
+        """Label, share and spans of some texts."""
+        scores, letters, sizes, lone = [], [], [], []
+        for row, end, data, offsets in scan.slices(column):
+            w = scan.words(data, offsets)
+            score, lettered = model.word_scores(w) if len(w.hash) else (np.zeros((0, len(model.langs)), np.float32), np.zeros(0, bool))
+            scores.append(score)
+            letters.append(lettered)
+            sizes.append(np.diff(w.first))
+            ascii_ = np.concatenate([[0], np.cumsum((w.data >= 97) & (w.data <= 122))])
+            for d in np.flatnonzero(ascii_[offsets[1:]] == ascii_[offsets[:-1]]).tolist():
+                if not any(map(str.isalpha, column[row + d].as_py() or "")):
+                    lone.append(row + d)
+        score, lettered, size = np.concatenate(scores), np.concatenate(letters), np.concatenate(sizes)
+        first = np.concatenate([[0], np.cumsum(size)])
+        label = viterbi(score, first)
+        doc = np.repeat(np.arange(len(size)), size)
+        votes = np.bincount(doc * len(model.langs) + label, lettered, len(size) * len(model.langs)).reshape(len(size), -1)
+        weak = votes.sum(1) == 0  # letters only inside words of other signs
+        votes[weak] = np.bincount(doc * len(model.langs) + label, minlength=votes.size).reshape(votes.shape)[weak]
+        top = votes.argmax(1)
+        share = votes[np.arange(len(size)), top] / np.maximum(votes.sum(1), 1)
+        made = [[model.langs[k] for k in top.tolist()], share.tolist(), _spans(label, first, model.langs)]
+        for d in lone:
+            made[0][d], made[1][d], made[2][d] = "und", 0.0, []
+        return made
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            scores, letters, sizes, lone = [], [], [], []
-            for row, end, data, offsets in scan.slices(column):
-                w = scan.words(data, offsets)
-                score, lettered = model.word_scores(w) if len(w.hash) else (np.zeros((0, len(model.langs)), np.float32), np.zeros(0, bool))
-                scores.append(score)
-                letters.append(lettered)
-                sizes.append(np.diff(w.first))
-                ascii_ = np.concatenate([[0], np.cumsum((w.data >= 97) & (w.data <= 122))])
-                for d in np.flatnonzero(ascii_[offsets[1:]] == ascii_[offsets[:-1]]).tolist():
-                    if not any(map(str.isalpha, column[row + d].as_py() or "")):
-                        lone.append(row + d)
-            made: list[list] = [[], [], []]
-            if scores:
-                score, lettered, size = np.concatenate(scores), np.concatenate(letters), np.concatenate(sizes)
-                first = np.concatenate([[0], np.cumsum(size)])
-                label = viterbi(score, first)
-                doc = np.repeat(np.arange(len(size)), size)
-                votes = np.bincount(doc * len(model.langs) + label, lettered, len(size) * len(model.langs)).reshape(len(size), -1)
-                weak = votes.sum(1) == 0  # letters only inside words of other signs
-                votes[weak] = np.bincount(doc * len(model.langs) + label, minlength=votes.size).reshape(votes.shape)[weak]
-                top = votes.argmax(1)
-                share = votes[np.arange(len(size)), top] / np.maximum(votes.sum(1), 1)
-                made = [[model.langs[k] for k in top.tolist()], share.tolist(), _spans(label, first, model.langs)]
-                for d in lone:
-                    made[0][d], made[1][d], made[2][d] = "und", 0.0, []
+            column, made = batch.column(batch.schema.get_field_index(text)), [[], [], []]
+            for row, end, _, _ in scan.slices(column, TOGETHER):
+                for got, more in zip(made, labelled(column.slice(row, end - row), model), strict=True):
+                    got.extend(more)
             extra = [pa.array(x, f.type) for x, f in zip(made, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *kinds.names])
+            scan.release()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *result.fields]))
 
