@@ -46,15 +46,17 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     named = rules.where("host is not null and path is not null and action is not null").select(shared.lower_ascii(F.col("host")).alias("rule_host"), F.col("path").alias("rule_path"), "action")
     named = named.groupBy("rule_host", "rule_path").agg(F.min(F.when(F.col("action") == "block", 0).otherwise(1)).alias("allowed"))
     named = named.withColumn("digest", _digest(F.col("rule_host"), F.col("rule_path"))).select("*", F.substring("digest", 1, KEY_HEX).alias("key")).drop("rule_host", "rule_path")
-    # one row: only lengths at which some rule ends can match
-    lengths = sorted(rules.agg(F.collect_set(F.length("path"))).first()[0])
+    # one row: only path lengths and numbers of host labels that some rule has can match
+    counted = rules.where("host is not null and path is not null")
+    lengths, depths = map(sorted, counted.agg(F.collect_set(F.length("path")), F.collect_set(F.size(F.split("host", r"\.", -1)))).first())
 
     pages = pages.drop("host", "path", "rule", "verdict")
     host, path = split_url(F.col(url))
     urls = pages.select(F.col(url).alias("u")).distinct().select("u", *(c.alias(n) for c, n in zip(split_url(F.col("u")), ("host", "path"), strict=True)))
     labels = F.split("host", r"\.", -1)
-    parts = urls.where("host <> ''").select("u", "path", F.posexplode(labels).alias("k", "label"), labels.alias("labels"))
-    parts = parts.select("u", "path", F.array_join(F.slice("labels", F.col("k") + 1, F.size("labels")), ".").alias("suffix"))
+    fitting = F.filter(F.array(*(F.lit(n) for n in depths)).cast("array<int>"), lambda n: n <= F.size("labels"))
+    parts = urls.where("host <> ''").select("u", "path", labels.alias("labels")).select("u", "path", "labels", F.explode(fitting).alias("k"))
+    parts = parts.select("u", "path", F.array_join(F.slice("labels", F.size("labels") - F.col("k") + 1, F.col("k")), ".").alias("suffix"))
     ends = F.array(*(F.lit(n) for n in lengths)).cast("array<int>")
     parts = parts.select("u", "suffix", F.explode(F.filter(F.transform(ends, lambda n: F.when(F.length("path") >= n, F.substring("path", F.lit(1), n))), lambda p: p.isNotNull())).alias("prefix"))
     tried = parts.withColumn("full", _digest(F.col("suffix"), F.col("prefix"))).withColumn("key", F.substring("full", 1, KEY_HEX))
