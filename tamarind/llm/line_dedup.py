@@ -7,12 +7,14 @@ lines that a later occurrence covers are removed, overlapping ones once.
 
 Windows are compared by two independent 64-bit hashes.  They are counted with
 partial aggregation, so a passage in a third of all documents costs one row a
-task; only windows that do repeat are joined back.
+task; only windows that do repeat are joined back, hot ones by a broadcast of at
+most a thousand.
 
 Defined cases: documents of fewer than three lines, empty and null texts are
 left as they are.  Repeated rows with the same id and text count as one
 document and are cut alike.  A text whose lines all go becomes the empty
-string.  Other columns pass through; columns named like an output are replaced.
+string.  Other columns pass through, whatever their names; those named like an
+output are replaced.
 """
 
 from __future__ import annotations
@@ -28,25 +30,24 @@ WINDOW = 3
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with the deduplicated text, n_lines, and removed (numbers of removed lines, from 0, ascending)."""
     docs = docs.drop("n_lines", "removed")
-    keyed = docs.withColumns({"_t": F.xxhash64(F.col(text)), "_lines": F.split(F.col(text), "\n", -1)})
-    at = F.sequence(F.lit(1), F.size("_lines") - (window - 1))
-    lines = [lambda i, k=k: F.element_at("_lines", i + k) for k in range(window)]
+    t, all_, gone, kept, id2, t2 = (shared.fresh_name(docs, n) for n in ("_t", "_lines", "_gone", "_kept", "_id", "_t2"))
+    keyed = docs.withColumns({t: F.xxhash64(F.col(text)), all_: F.split(F.col(text), "\n", -1)})
+    at = F.sequence(F.lit(1), F.size(all_) - (window - 1))
+    lines = [lambda i, k=k: F.element_at(all_, i + k) for k in range(window)]
     pair = lambda i: F.struct(F.xxhash64(*(f(i) for f in lines)).alias("h1"), F.xxhash64(F.lit(7), *(f(i) for f in lines)).alias("h2"))
-    windows = keyed.where(F.size("_lines") >= window).select(F.col(doc_id).alias("_id"), "_t", F.posexplode(F.transform(at, pair)).alias("_at", "w"))
-    windows = windows.select("_id", "_t", "_at", "w.h1", "w.h2")
-    place = F.struct("_id", "_t", "_at")
-    seen = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
-    later = windows.join(seen, ["h1", "h2"]).where(F.struct("_id", "_t", "_at") != F.col("first"))
-    covered = later.select("_id", "_t", F.explode(F.sequence(F.col("_at"), F.col("_at") + (window - 1))).alias("n"))
-    covered = covered.groupBy("_id", "_t").agg(F.sort_array(F.collect_set("n")).alias("removed"))
-    joined = keyed.join(covered.withColumnRenamed("_t", "_t2"), keyed[doc_id].eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_t2")), "left")
+    windows = keyed.where(F.size(all_) >= window).select(F.col(doc_id).alias("id"), F.col(t).alias("t"), F.posexplode(F.transform(at, pair)).alias("at", "w"))
+    place = F.struct("id", "t", "at")
+    seen = windows.groupBy("w").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("first <> last").drop("last")
+    later = shared.join_counted(windows, seen, "w", "n").where(place != F.col("first"))
+    covered = later.select("id", "t", F.explode(F.sequence(F.col("at"), F.col("at") + (window - 1))).alias("n"))
+    covered = covered.groupBy(F.col("id").alias(id2), F.col("t").alias(t2)).agg(F.sort_array(F.collect_set("n")).alias("removed"))
+    joined = keyed.join(covered, keyed[doc_id].eqNullSafe(F.col(id2)) & (F.col(t) == F.col(t2)), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    gone = F.map_from_arrays(F.col("removed"), F.col("removed"))
-    kept = F.filter("_lines", lambda line, i: ~F.map_contains_key("_gone", i))
-    out = joined.withColumn("_gone", gone)
-    out = out.withColumn("_kept", F.when(F.col("removed").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
-    out = out.withColumns({text: F.col("_kept"), "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size("_lines")), "removed": removed})
-    return out.drop("_t", "_t2", "_id", "_lines", "_gone", "_kept")
+    out = joined.withColumn(gone, F.map_from_arrays(F.col("removed"), F.col("removed")))
+    left = F.filter(all_, lambda line, i: ~F.map_contains_key(gone, i))
+    out = out.withColumn(kept, F.when(F.col("removed").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")))
+    out = out.withColumns({text: F.col(kept), "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(all_)), "removed": removed})
+    return out.select(*docs.columns, "n_lines", "removed")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
