@@ -137,6 +137,53 @@ def test_contamination(spark, odd, none):
     assert contamination.find_matches(none, bench).count() == 0
 
 
+def brute_contamination(docs, items, window=13):
+    import re
+
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    out = {}
+    for d, t in docs:
+        w, hit, ids = words(t), set(), set()
+        for i, x in items:
+            q = words(x)
+            n = min(window, len(q))
+            grams = {tuple(q[k : k + n]) for k in range(len(q) - n + 1)} if q else set()
+            for k in range(len(w) - n + 1) if q else ():
+                if tuple(w[k : k + n]) in grams:
+                    hit |= set(range(k, k + n))
+                    ids.add(i or "")
+        out[d] = (len(w), len(hit), sorted(ids))
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 24, 300])
+def test_contamination_brute(spark, monkeypatch, block_bytes):
+    """Repetitive texts and items, short items, and several blocks."""
+    monkeypatch.setattr(contamination, "BLOCK_BYTES", block_bytes)
+    rng = np.random.default_rng(11)
+    say = lambda n, k: " ".join("ab"[x] if k == 2 else f"v{x}" for x in rng.integers(0, k, n))
+    items = [("r", "same " * 40), ("ab", say(60, 2)), ("ba", say(30, 2)), ("long", say(80, 500)), ("short", "alpha beta"), ("one", "gamma"), ("none", "..."), ("r", say(20, 3)), ("twice", "same " * 14 + "end")]
+    long_ = items[3][1].split()
+    docs = [(0, "same " * 300), (1, say(400, 2)), (2, "x " * 5 + " ".join(long_[10:50]) + " y"), (3, " ".join(long_[:12])), (4, "Alpha, BETA gamma!"), (5, None), (6, ""), (7, say(300, 3) + " same" * 13 + " end"), (8, " ".join(long_ + long_))]
+    rows = contamination.find_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in rows} == brute_contamination(docs, items)
+    by = {r.doc_id: {m.item_id: m for m in r.matches} for r in rows}
+    assert (by[2]["long"].item_start, by[2]["long"].doc_start, by[2]["long"].length) == (10, 5, 40) and by[8]["long"].length == 80
+    assert by[0]["r"].length == 40 and sum(h.end - h.start for r in rows for h in r.hits) == sum(r.n_hit for r in rows)
+
+
+def test_contamination_repetitive_is_fast():
+    """Equal words against equal words are not paired one by one."""
+    import time
+
+    import pyarrow as pa
+
+    block = contamination.Block(["i"], pa.array(["word " * 3000], pa.large_string()), 13)
+    began = time.perf_counter()
+    made = contamination._judge(pa.array(["word " * 8000]), block)
+    assert made["n_hit"] == [8000] and made["matches"][0][0]["length"] == 3000 and time.perf_counter() - began < 20
+
+
 def test_packing_ids(spark, odd, none):
     from tokenizers import Tokenizer
 
@@ -292,9 +339,21 @@ def test_sharding(spark, odd, none):
         curve = [r.curve for r in sorted(rows, key=lambda r: (r.shard, r.slot))]
         assert curve == sorted(curve)
         assert all(r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode()) and r.size == len((texts[r.doc_id] or "").encode()) + 8 for r in rows)
-    dims = {"n": odd.n_chars, "s": sharding.ordinal(odd.source)}
-    assert sharding.hilbert_shards(odd, dims, 5, [odd.doc_id]).count() == len(ODD)
-    assert sharding.hilbert_shards(none, dims, 5, [odd.doc_id]).count() == 0
+    clash = odd.withColumns({c: F.lit("x") for c in ("_sub", "_rank", "_before", "_c0", "curve", "slot")})
+    placed = sharding.hilbert_shards(clash, ["n_chars", "source"], 5, ["doc_id", "text"])
+    assert placed.count() == len(ODD) and set(clash.columns) <= set(placed.columns)
+    assert sharding.hilbert_shards(none, ["n_chars", "source"], 5, ["doc_id"]).count() == 0
+
+
+def test_string_quantiles(spark):
+    """Strings with a long common beginning fall into cells of about equal numbers of rows."""
+    rows = [(f"https://example.org/{i:04}",) for i in range(400)] + [("https://example.org/0007",)] * 200 + [(None,)] * 3
+    df = spark.createDataFrame(rows, "s string")
+    cell = sharding.quantise(df, {"s": "s"}, 3)["s"]
+    got = collections.Counter(r.c for r in df.where("s is not null").select(cell.alias("c")).collect())
+    assert got[0] <= 75 and max(n for c, n in got.items()) <= 275 and len(got) >= 6
+    pairs = sorted((r.s, r.c) for r in df.where("s is not null").select("s", cell.alias("c")).collect())
+    assert [c for _, c in pairs] == sorted(c for _, c in pairs) and {r.c for r in df.where("s is null").select(cell.alias("c")).collect()} == {0}
 
 
 def test_chat_tree(spark):
@@ -307,6 +366,42 @@ def test_chat_tree(spark):
     assert chat.format_paths(chat.chosen_paths(df.where("1 = 0"))).count() == 0
 
 
+def test_chat_keeps_all_rows(spark):
+    """Tied turns, repeated rows, null turns and null conversations are all turns of their conversation."""
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "y"), (1, 1, "assistant", "x"), (1, 1, "assistant", "x"), (1, None, "assistant", "last"), (None, 0, "user", "n"), (None, 1, "assistant", None), (2, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv: [(t.role, t.text) for t in r.turns] for r in chat.read_back(chat.format_paths(chat.chosen_paths(chat.linked(df)))).collect()}
+    assert got == {1: [("user", "a"), ("assistant", "x"), ("assistant", "x"), ("assistant", "y"), ("assistant", "last")], None: [("user", "n"), ("assistant", "")], 2: [("", "")]}
+
+
+def test_line_dedup_clashing_names(odd):
+    clash = odd.withColumns({c: F.lit("x") for c in ("_t", "_t2", "_id", "_lines", "_gone", "_kept", "id", "t", "at", "w", "n", "removed")})
+    out = line_dedup.dedup_lines(clash)
+    assert set(clash.columns) <= set(out.columns) and {r.doc_id: r.text for r in out.collect()}[10] == "same"
+
+
+def test_language_counts(spark, monkeypatch):
+    """The trained table equals counts by a plain loop over words and trigrams."""
+    texts = [("en", "The cat, the hat"), ("en", "a"), ("ru", "мир мир да"), ("ru", None), (None, "left out"), ("ja", "日本 123")]
+    model = language.train(spark.createDataFrame(texts, "lang string, text string"))
+    langs = sorted({k for k, t in texts if k and t})
+    grams, scripts = {k: collections.Counter() for k in langs}, {k: collections.Counter() for k in langs}
+    for k, t in texts:
+        for w in (t or "").encode().lower().split() if k in grams else ():
+            code = next((ord(c) for c in w.decode() if c.isalpha()), None)
+            script = 0 if code is None else int(language.SCRIPT_NUMBERS[np.searchsorted(language.SCRIPT_STARTS, code, "right") - 1])
+            scripts[k][script] += 1
+            padded = [0, *w, 0]
+            for x in zip(padded, padded[1:], padded[2:], strict=False):
+                if script:
+                    grams[k][int(language.scan.mix(np.array([x[0] << 16 | x[1] << 8 | x[2]], np.uint64))[0] % np.uint64(language.BUCKETS))] += 1
+    assert model.langs == langs
+    for j, k in enumerate(langs):
+        want = np.array([grams[k][b] for b in range(language.BUCKETS)])
+        assert np.allclose(model.table[:, j], np.log((want + language.SMOOTH) / (want.sum() + language.SMOOTH * language.BUCKETS)))
+        assert all(model.allowed[x, j] for x in scripts[k] if x)
+
+
 def test_url_odd(spark):
     urls = [(1, None), (2, "no scheme"), (3, "http://"), (4, "HTTP://A.Example.ORG/en/12?x"), (4, "HTTP://A.Example.ORG/en/12?x"), (5, "x://org/"), (6, "x://org"), (7, "x://borg/"), (8, "x://" + "a." * 300 + "com/de/" + "y" * 5000)]
     pages = spark.createDataFrame([(i, u, "clash", "clash") for i, u in urls], "page_id long, url string, host string, key string")
