@@ -10,8 +10,9 @@ left, which fills windows to the last place.
 
 Tokens come from a tokenizer file of the ``tokenizers`` library that lower-cases
 and drops white space.  Its words never span white space, so each distinct word
-is encoded once and its ids are reused; a worker's memory of words is bounded
-and keyed by 64-bit hashes.
+is encoded once and its ids are reused.  A task's memory of words is bounded by
+their number and by the bytes of their ids, keyed by 64-bit hashes, and dropped
+with the task; unknown words are encoded a few thousand at a time.
 
 Defined cases: a null or empty text is its end mark alone.  Repeated rows are
 packed one by one.  No documents, no sequences.  Very long texts are cut into
@@ -38,8 +39,10 @@ OPEN = 64  # windows a partition keeps open
 SLACK = 32
 FAN = 64
 END = 2
-MEMORY_WORDS = 2_000_000
-_MEMORY: dict[str, "Encoder"] = {}
+MEMORY_WORDS = 500_000
+MEMORY_IDS = 4_000_000  # ids of remembered words
+ENCODE_WORDS, ENCODE_BYTES = 4096, 1 << 18  # that one call of the tokenizer gets
+_TOKENIZERS: dict[str, object] = {}
 
 
 def default_tokenizer() -> str:
@@ -55,28 +58,27 @@ class Encoder:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
+        if path not in _TOKENIZERS:
+            _TOKENIZERS[path] = Tokenizer.from_file(path)
+        self.tokenizer = _TOKENIZERS[path]
         self.forget()
 
     def forget(self) -> None:
         self.known, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.count, self.ids, self.used = np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
+        self.count, self.ids = np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
     def learn(self, w: scan.Words, fresh: np.ndarray, hashes: np.ndarray) -> None:
         """fresh: numbers of words to encode."""
-        if len(self.known) + len(fresh) > MEMORY_WORDS:
-            self.forget()
-        raw = w.data.tobytes()
-        made = self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(w.start[fresh].tolist(), w.end[fresh].tolist(), strict=True)], add_special_tokens=False)
-        parts = [x.ids for x in made]
-        del made
-        count = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.fromiter(chain.from_iterable(parts), np.uint32, int(count.sum()))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        known, at, count = np.concatenate([self.known, hashes]), np.concatenate([self.at, self.used + np.cumsum(count) - count]), np.concatenate([self.count, count])
-        self.used += len(flat)
+        start, end = w.start[fresh], w.end[fresh]
+        part = np.maximum(np.arange(len(fresh)) // ENCODE_WORDS, np.cumsum(end - start) // ENCODE_BYTES)
+        counts, flats = [self.count], [self.ids]
+        for at in np.split(np.arange(len(fresh)), np.flatnonzero(np.diff(part)) + 1) if len(fresh) else ():
+            made = self.tokenizer.encode_batch_fast([w.data[a:b].tobytes().decode() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)], add_special_tokens=False)
+            parts = [x.ids for x in made]
+            counts.append(np.fromiter(map(len, parts), np.int32, len(parts)))
+            flats.append(np.fromiter(chain.from_iterable(parts), np.uint32, int(counts[-1].sum())))
+        self.ids, count, known = np.concatenate(flats), np.concatenate(counts), np.concatenate([self.known, hashes])
+        at = np.concatenate([self.at, len(self.ids) - np.cumsum(count[len(self.at) :][::-1], dtype=np.int64)[::-1]])
         order = np.argsort(known, kind="stable")
         self.known, self.at, self.count = known[order], at[order], count[order]
 
@@ -107,7 +109,7 @@ class Encoder:
         kinds, sample, kind = np.unique(w.hash, return_index=True, return_inverse=True)
         k, there = self._find(kinds)
         if not there.all():
-            if len(self.known) + (~there).sum() > MEMORY_WORDS:  # all of this slice's words are then learnt anew
+            if len(self.known) + (~there).sum() > MEMORY_WORDS or len(self.ids) > MEMORY_IDS:  # all of this slice's words are then learnt anew
                 self.forget()
                 there[:] = False
             self.learn(w, sample[~there], kinds[~there])
@@ -152,7 +154,7 @@ class Packer:
             k = bisect.bisect_left(self.free, (len(ids), -1))
             if k < len(self.free):
                 room, window = self.free.pop(k)
-                self.pieces[window].append((doc, start, ids, total))
+                self.pieces[window].append((doc, start, ids.copy(), total))  # a view would hold its whole slice
                 if room > len(ids):
                     bisect.insort(self.free, (room - len(ids), window))
                 else:
@@ -161,7 +163,7 @@ class Packer:
             if len(self.free) >= self.most:
                 room, window = self.free.pop(0)
                 if room > SLACK:
-                    self.pieces[window].append((doc, start, ids[:room], total))
+                    self.pieces[window].append((doc, start, ids[:room], total))  # emitted at once
                     start, ids = start + room, ids[room:]
                 self._emit(window)
                 continue
@@ -209,15 +211,16 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
     schema = f"doc_id {kind.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, open boolean"
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _MEMORY.get(path) or _MEMORY.setdefault(path, Encoder(path))
+        encoder = Encoder(path)
         packer = Packer(TaskContext.get().partitionId(), size, most)
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for row, end, data, offsets in scan.slices(batch.column(1), 2 * scan.SLICE_BYTES):
+            for row, end, data, offsets in scan.slices(batch.column(1)):
                 ids, begin = encoder.encode(data, offsets)
                 for d in range(end - row):
                     packer.add(names[row + d], 0, ids[begin[d] : begin[d + 1]], int(begin[d + 1] - begin[d]))
                 yield packer.take(arrow_kind)
+            scan.release()
         packer.close(False)
         yield packer.take(arrow_kind)
 
