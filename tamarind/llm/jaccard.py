@@ -56,7 +56,7 @@ FRAGMENT_BYTES = 24 << 20  # text for which there is one fragment in step 1
 TALLY_GRAMS = 2_000_000  # n-grams that a task holds before it sends them to their fragments
 CLASS_GRAMS = 1_000_000  # n-grams of classes for which there is one fragment in step 2
 GROUP_GRAMS = 2_000_000  # n-grams of classes that look up their frequencies together
-PIECE = 400_000  # n-grams of a hub's other classes in a group, and of a set in a fragment, in step 4
+PIECE = 100_000  # n-grams of a hub's other classes in a group, and of a set in a fragment, in step 4
 PARITY = 8  # words of 64 parity bits a class
 RECENT = 48  # earlier prefix n-grams of a class that are looked at to emit a pair once
 
@@ -270,7 +270,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     nodes = shared.settle(ends.join(sets.select("doc", "n"), ends["node"] == F.col("doc")).select("node", "n", "pairs"), "nodes")
     # sets that could link have sizes within ``percent``, so a hub's size bounds those of its other classes
     total = nodes.agg(F.coalesce(F.sum(F.col("n") * F.col("pairs")), F.lit(0))).first()[0]
-    groups = max(1, total // (4 * PIECE), shared.partitions(pairs.sparkSession))
+    groups = max(1, total // (16 * PIECE), shared.partitions(pairs.sparkSession))
     end = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.struct("pairs", (-F.col("node")).alias("low"), "n").alias(f"rank_{c}"))
     sized = pairs.select("a", "b").join(end("a"), "a").join(end("b"), "b")
     sized = sized.withColumn("hub", F.greatest("rank_a", "rank_b")).withColumn("other", F.when(F.col("hub.low") == -F.col("a"), F.col("b")).otherwise(F.col("a")))

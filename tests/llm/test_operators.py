@@ -412,15 +412,17 @@ def test_url_odd(spark):
     assert url_filter.filter_urls(pages.where("1 = 0"), url_filter.rules_frame(spark)).count() == 0
 
 
-def test_cover_tree_odd(spark, monkeypatch):
-    """Small blocks force cells and cuts; a tight group, equal vectors and broken ones."""
-    monkeypatch.setattr(cover_tree, "BLOCK", 20)
+@pytest.mark.parametrize("rounds", [16, 1])
+def test_cover_tree_odd(spark, monkeypatch, rounds):
+    """Small cells force several levels and cuts; a tight group, equal and parallel vectors, huge and tiny ones, and broken ones."""
+    for name, value in (("BLOCK", 20), ("FEW", 3), ("FAN", 4), ("DEALT", 30), ("LEAF", 3), ("ROUNDS", rounds)):
+        monkeypatch.setattr(cover_tree, name, value)
     rng = np.random.default_rng(6)
     centre = rng.normal(size=8)
-    vectors = [centre + rng.normal(size=8) * 0.08 for _ in range(60)] + [rng.normal(size=8) for _ in range(60)] + [centre] * 5 + [centre * 3]
+    vectors = [centre + rng.normal(size=8) * 0.08 for _ in range(60)] + [rng.normal(size=8) for _ in range(60)] + [centre] * 5 + [centre * 3, centre * 1e200, centre * 1e-200]
     rows = [(i, [float(x) for x in v], "a" if i % 3 else "b") for i, v in enumerate(vectors)]
     rows += [(500, None, "a"), (501, [0.0] * 8, "a"), (502, [float("nan")] * 8, "a"), (503, [], "a"), (504, [None] * 8, "a"), (505, [float(x) for x in centre], None), (506, [1.0], "a"), (507, [2.0], "a")]
-    good = {i: (np.array(v), k) for i, v, k in rows if k and v and None not in v and np.isfinite(v).all() and any(v)}
+    good = {i: (np.array(v) / np.abs(v).max(), k) for i, v, k in rows if k and v and None not in v and np.isfinite(v).all() and any(v)}
     links = [(a, b) for a, b in itertools.combinations(good, 2) if good[a][1] == good[b][1] and len(good[a][0]) == len(good[b][0]) and good[a][0] @ good[b][0] / np.linalg.norm(good[a][0]) / np.linalg.norm(good[b][0]) >= 0.98]
     degree = collections.Counter(x for e in links for x in e)
     group = grouped(links, [r[0] for r in rows])
@@ -430,6 +432,29 @@ def test_cover_tree_odd(spark, monkeypatch):
     assert cover_tree.near_duplicates(df.where("1 = 0")).count() == 0
 
 
+def test_cover_tree_ids(spark):
+    """Null, repeated and string ids."""
+    rows = [("b", [1.0, 0.0], "x"), ("a", [2.0, 0.0], "x"), ("a", [0.0, 1.0], "x"), (None, [0.0, 1.0], "x"), (None, [1.0, 1.0], "x")]
+    got = cover_tree.near_duplicates(spark.createDataFrame(rows, "vec_id string, embedding array<double>, label string")).collect()
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in got) == [("None", 0, "None"), ("None", 1, "a"), ("a", 1, "a"), ("a", 1, "a"), ("b", 1, "a")]
+
+
+def test_cover_tree_bounds():
+    """All pairs within reach come from the traversal, once each, and nodes cover their points."""
+    rng = np.random.default_rng(2)
+    points = cover_tree.unit(np.concatenate([rng.normal(size=(300, 5)), rng.normal(size=5) + 0.01 * rng.normal(size=(200, 5))]))
+    trees = cover_tree.Tree(points), cover_tree.Tree(points[:200])
+    for tree in trees:
+        for k in range(len(tree.centre)):
+            mine = tree.order[tree.begin[k] : tree.end[k]]
+            assert np.linalg.norm(tree.points[mine] - tree.points[tree.centre[k]], axis=1).max() <= tree.radius[k]
+    for a, b, same in ((trees[0], trees[0], True), (trees[0], trees[1], False)):
+        found = collections.Counter(tuple(sorted(p)) if same else p for i, j in cover_tree.dual(a, b, 0.2, same) for p in zip(i.tolist(), j.tolist(), strict=True))
+        apart = np.linalg.norm(a.points[:, None] - b.points[None], axis=2)
+        want = {(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(apart <= 0.2)), strict=True) if not same or i < j}
+        assert want <= set(found) and max(found.values()) == 1
+
+
 def test_pipeline_brute(spark, tmp_path):
     """Kept documents, held against a plain version of every stage."""
     docs = shared.table(spark, SF, "documents")
