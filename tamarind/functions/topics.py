@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Fixed values of the topic language.
 SEPARATOR, ONE, MANY, SYSTEM = "/", "+", "#", "$"
 SHARED, ORDERED = "$share/", "$oshare/"
-NEVER = 0xFFFFFFFF  # an expiry that never comes
+NEVER = 0xFFFFFFFF  # an expiry that is given as never; its seconds are added like any others
 
 
 def levels(topic: Column) -> Column:
@@ -91,9 +91,75 @@ def physical_ms(hlc: Column) -> Column:
 
 
 def expire_at(hlc: Column, seconds: Column) -> Column:
-    return F.when(seconds != NEVER, physical_ms(hlc) + seconds * 1000)
+    return physical_ms(hlc) + seconds.cast("long") * 1000
 
 
 def left_seconds(hlc: Column, seconds: Column, now_ms: Column) -> Column:
     """Seconds left on delivery, whole ones; below 0 is expired."""
     return seconds - F.call_function("div", now_ms - physical_ms(hlc), F.lit(1000))
+
+
+def tenant_levels(tenant: Column, topic: Column) -> Column:
+    return F.concat(F.array(tenant), levels(topic))
+
+
+def escaped(topic: Column) -> Column:
+    return F.replace(topic, F.lit(SEPARATOR), F.lit("\0"))
+
+
+def unescaped(topic: Column) -> Column:
+    return F.replace(topic, F.lit("\0"), F.lit(SEPARATOR))
+
+
+UNACCEPTABLE = r"[\p{Cc}\p{Cn}]"  # control and unassigned characters
+
+
+def well_formed(text: Column, sane: bool = False) -> Column:
+    """At most 65535 UTF-16 units, no NUL, no character beyond the basic plane, and with ``sane`` no control or non-character."""
+    ok = (F.length(text) <= 65535) & ~F.contains(text, F.lit("\0")) & ~F.rlike(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+    return ok & ~F.rlike(text, F.lit(UNACCEPTABLE)) if sane else ok
+
+
+def valid_payload(payload: Column) -> Column:
+    """Bytes that are UTF-8 without control or non-characters."""
+    text = payload.cast("string")
+    return F.is_valid_utf8(text) & ~F.contains(text, F.lit("\0")) & ~F.rlike(F.make_valid_utf8(text), F.lit(UNACCEPTABLE))
+
+
+def level_hash(level: Column) -> Column:
+    """The low byte of the 32-bit FNV-1a hash over the level's characters."""
+    chars = F.filter(F.split(level, "", -1), lambda c: c != "")
+    return F.aggregate(chars, F.lit(0xC5), lambda h, c: (h.bitwiseXOR(F.ascii(c).bitwiseAND(F.lit(255))) * 0x93).bitwiseAND(F.lit(255)))
+
+
+def bucket(text: Column, buckets: int = 256) -> Column:
+    """Bucket of a name by the polynomial string hash with multiplier 31, folded once."""
+    chars = F.filter(F.split(text, "", -1), lambda c: c != "")
+    h = F.aggregate(chars, F.lit(0).cast("long"), lambda h, c: (h * 31 + F.ascii(c)).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return h.bitwiseXOR(F.shiftright(h, 16)).bitwiseAND(F.lit(buckets - 1))
+
+
+def to_bytes(n: Column) -> Column:
+    """A long as eight bytes, big end first."""
+    return F.unhex(F.lpad(F.hex(n), 16, "0"))
+
+
+def from_bytes(b: Column) -> Column:
+    return F.conv(F.hex(b), 16, -10).cast("long")
+
+
+def upper_bound(key: Column) -> Column:
+    """The least bytes above all that begin with ``key``; null, an open end, if there are none."""
+    kept = F.regexp_extract(F.hex(key), "^((?:..)*?)(?:FF)*$", 1)
+    last = F.conv(F.right(kept, F.lit(2)), 16, 10).cast("int") + 1
+    return F.when(F.length(kept) > 0, F.unhex(F.concat(F.left(kept, F.length(kept) - 2), F.lpad(F.hex(last), 2, "0"))))
+
+
+def receiver_id(inbox: Column, incarnation: Column) -> Column:
+    return F.concat_ws("_", inbox.cast("string"), F.lower(F.lpad(F.hex(incarnation), 16, "0")))
+
+
+def parsed_receiver(receiver: Column) -> tuple[Column, Column]:
+    """Inbox and incarnation of a receiver id; the inbox may hold the separator itself."""
+    cut = F.length(receiver) - 16
+    return F.substring(receiver, F.lit(1), cut - 1), F.conv(F.right(receiver, F.lit(16)), 16, -10).cast("long")

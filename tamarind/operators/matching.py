@@ -7,35 +7,26 @@ from pyspark.sql import functions as F
 
 from ..functions import topics as T
 
-SHAPES = 4096  # shapes that may be broadcast; each is one short string
-
-
 def match_theta(topics: DataFrame, filters: DataFrame) -> DataFrame:
     """Reference form: every topic against every filter of its tenant."""
     return topics.join(filters, (topics["tenant"] == filters["tenant"]) & T.matches(F.col("topic"), T.plain_filter(F.col("filter")))).drop(filters["tenant"])
 
 
 def match_topics(topics: DataFrame, filters: DataFrame) -> DataFrame:
-    """Hash equi-join: a topic is masked with each distinct shape of filter and looked up by what it then reads.
+    """Hash equi-join: a topic is masked with each shape of filter that fits its depth, and looked up by what it then reads.
 
-    There are far fewer shapes than filters.  Their number is checked before
-    they are broadcast; beyond ``SHAPES`` they are joined by number of levels,
-    those that end in ``#`` by each number up to the deepest topic's.
+    There are far fewer shapes than filters.  Shapes meet topics by number of
+    levels, those that end in ``#`` at each number from theirs to the deepest topic's.
     """
     filters = filters.withColumn("_plain", T.plain_filter(F.col("filter")))
-    shapes = filters.select(T.shape(F.col("_plain")).alias("shape")).distinct()
-    few = shapes.limit(SHAPES + 1).count() <= SHAPES
     # one masked row a topic and shape that fits; topics repeat in messages, so only distinct ones are masked
-    names = topics.select("tenant", "topic").distinct()
-    if few:
-        tried = names.join(F.broadcast(shapes), F.lit(True))
-    else:
-        depth = shapes.withColumns({"many": F.endswith("shape", F.lit(T.MANY)), "depth": F.size(T.levels(F.col("shape")))})
-        deepest = names.agg(F.coalesce(F.max(F.size(T.levels(F.col("topic")))), F.lit(0))).first()[0]
-        below = F.when(F.col("depth") - 1 <= deepest, F.sequence(F.col("depth") - 1, F.greatest(F.col("depth") - 1, F.lit(deepest))))  # none for a shape that is deeper than all topics
-        depth = depth.withColumn("at", F.when(F.col("many"), below).otherwise(F.array("depth"))).select("shape", F.explode("at").alias("at"))
-        tried = names.withColumn("at", F.size(T.levels(F.col("topic")))).join(depth, "at").drop("at")
-    tried = tried.select("tenant", "topic", T.masked(F.col("topic"), F.col("shape")).alias("_plain")).where("_plain is not null")
+    names = topics.select("tenant", "topic").distinct().withColumn("_at", F.size(T.levels(F.col("topic"))))
+    deepest = names.agg(F.coalesce(F.max("_at"), F.lit(0))).first()[0]
+    shapes = filters.select("tenant", T.shape(F.col("_plain")).alias("shape")).distinct()
+    shapes = shapes.withColumns({"many": T.is_multi_wildcard(F.col("shape")), "depth": F.size(T.levels(F.col("shape")))})
+    below = F.when(F.col("depth") - 1 <= deepest, F.sequence(F.col("depth") - 1, F.greatest(F.col("depth") - 1, F.lit(deepest))))  # none for a shape that is deeper than all topics
+    shapes = shapes.select("tenant", "shape", F.explode(F.when(F.col("many"), below).otherwise(F.array("depth"))).alias("_at"))
+    tried = names.join(shapes, ["tenant", "_at"]).select("tenant", "topic", T.masked(F.col("topic"), F.col("shape")).alias("_plain")).where("_plain is not null")
     found = tried.join(filters, ["tenant", "_plain"]).drop("_plain")
     return topics.join(found, ["tenant", "topic"])
 

@@ -6,17 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(rows: DataFrame, keys: list[str], order: list, start: int = 0) -> DataFrame:
-    """Sequence numbers of each queue."""
-    return rows.withColumn("seq", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1 + start)
+PARTS = 1024  # ranges of the first order column in which rows are numbered
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[str], start: int = 0) -> DataFrame:
+    """Sequence numbers of each queue; ``order`` begins with a number.
+
+    Rows are numbered inside ranges of that number and what lies before is
+    counted, so that one queue with most of the rows is numbered by many tasks.
+    """
+    low, high = rows.agg(F.min(order[0]), F.max(order[0])).first()
+    part = F.call_function("div", F.col(order[0]) - F.lit(low or 0), F.lit(((high or 0) - (low or 0)) // PARTS + 1))
+    dealt = rows.withColumn("_part", F.coalesce(part, F.lit(-1).cast("long")))
+    sizes = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # PARTS + 1 rows a queue at most
+    sizes = sizes.select(*keys, "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)) - 1
+    return dealt.withColumn("_place", place).join(sizes, [*keys, "_part"]).withColumn("seq", F.col("_place") + F.col("_before") + start).drop("_part", "_place", "_before")
 
 
 def bounded(rows: DataFrame, keys: list[str], limit: int, drop_oldest: bool) -> DataFrame:
     """Numbered rows that a queue of ``limit`` keeps: the first ones, or with ``drop_oldest`` the last."""
     if not drop_oldest:
         return rows.where(F.col("seq") < limit)
-    sizes = rows.groupBy(*keys).agg(F.max("seq").alias("_last"))
-    return rows.join(sizes, keys).where(F.col("seq") > F.col("_last") - limit).drop("_last")
+    back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("seq").desc()))  # a task keeps the first ``limit`` of each queue only
+    return rows.withColumn("_back", back).where(F.col("_back") <= limit).drop("_back")
 
 
 def fetch(rows: DataFrame, keys: list[str], after: int, most: int) -> DataFrame:

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tamarind import queries
+from tamarind import catalog as queries
 
 SF = "/root/testdata/sf0.001"
 
