@@ -55,38 +55,39 @@ def chosen_paths(nodes: DataFrame, most: int = 1) -> DataFrame:
 
     nodes: conv, node, parent, score, role, text.  Ties go to the smaller leaf.
     """
-    # in a struct, a null conversation id equals itself
-    nodes = nodes.where("node is not null").groupBy(F.struct("conv").alias("conv"), "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m")).select("conv", "node", "m.*")
-    ids = nodes.select("conv", F.col("node").alias("parent"), F.lit(True).alias("there"))
-    nodes = shared.settle(nodes.join(ids, ["conv", "parent"], "left").select("conv", "node", F.when(F.col("there"), F.col("parent")).alias("parent"), "role", "text", F.coalesce("score", F.lit(0.0)).alias("score")), "chat-nodes")
+    rows = nodes.where("node is not null").groupBy("conv", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m")).select("conv", "node", "m.*")
+    nodes = shared.settle(rows.withColumn("id", F.monotonically_increasing_id()), "chat-nodes")  # from here on a node is one number
+    above = nodes.select(F.col("conv").alias("_conv"), F.col("node").alias("_node"), F.col("id").alias("up"))
+    answers = F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("parent") == F.col("_node"))
+    tree = shared.settle(nodes.select("conv", "node", "parent", "id", "score").join(above, answers, "left").select("conv", "node", "id", "up", F.coalesce("score", F.lit(0.0)).alias("score")), "chat-tree")
 
     # up: the ancestor 2 ** k steps above, null where the root is nearer; total: scores of the steps passed, own included.
     # A node leaves the rounds when it has reached its root, and stays only while one that still climbs looks it up.
-    moved = nodes.select("conv", "node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("steps"), F.col("score").alias("total"))
-    most_steps, jumps, roots, still = 2 * nodes.count(), [], [moved.where("up is null")], None
+    moved = tree.select("id", "up", F.lit(1).cast("long").alias("steps"), F.col("score").alias("total"))
+    most_steps, jumps, roots, still = 2 * tree.count(), [], [moved.where("up is null")], None
     while True:
         climbing = moved.where("up is not null")
         left = climbing.agg(F.count("*"), F.max("steps")).first()
         if not left[0] or left[1] > most_steps:  # what still climbs then is on a cycle
             break
-        jumps.append(climbing.select("conv", "node", "up"))
+        jumps.append(climbing.select("id", "up"))
         there = moved.where("up is null") if still is None else moved.where("up is null").unionByName(still)
-        asked = climbing.select("conv", F.col("up").alias("node")).distinct()
-        still = shared.settle(there.join(asked, ["conv", "node"], "left_semi"), "chat-roots")
-        above = climbing.unionByName(still).select("conv", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("s2"), F.col("total").alias("t2"))
-        ahead = climbing.join(above, ["conv", "up"])
-        moved = shared.settle(ahead.select("conv", "node", F.col("up2").alias("up"), (F.col("steps") + F.col("s2")).alias("steps"), (F.col("total") + F.col("t2")).alias("total")), "chat-jumps")
+        asked = climbing.select(F.col("up").alias("id")).distinct()
+        still = shared.settle(there.join(asked, "id", "left_semi"), "chat-roots")
+        above = climbing.unionByName(still).select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("s2"), F.col("total").alias("t2"))
+        ahead = climbing.join(above, "up")
+        moved = shared.settle(ahead.select("id", F.col("up2").alias("up"), (F.col("steps") + F.col("s2")).alias("steps"), (F.col("total") + F.col("t2")).alias("total")), "chat-jumps")
         roots.append(moved.where("up is null"))
-    reach = reduce(DataFrame.unionByName, roots).select("conv", "node", "steps", "total")
-    inner = nodes.where("parent is not null").select("conv", F.col("parent").alias("node")).distinct()
-    leaves = reach.join(inner, ["conv", "node"], "left_anti")
+    reach = reduce(DataFrame.unionByName, roots).select("id", "steps", "total")
+    inner = tree.where("up is not null").select(F.col("up").alias("id")).distinct()
+    leaves = tree.select("conv", "node", "id").join(inner, "id", "left_anti").join(reach, "id")
     rank = F.row_number().over(Window.partitionBy("conv").orderBy((F.col("total") / F.col("steps")).desc(), F.col("node")))
-    marks = [shared.settle(leaves.withColumn("path", rank).where(F.col("path") <= most).select("conv", "path", "node", (F.col("steps") - 1).alias("depth")), "chat-marks")]
+    marks = [shared.settle(leaves.withColumn("path", rank).where(F.col("path") <= most).select("path", "id", (F.col("steps") - 1).alias("depth")), "chat-marks")]
     for k in reversed(range(len(jumps))):  # a leaf's ancestors: each sum of powers of two above it once
         high = reduce(DataFrame.unionByName, marks).where(F.col("depth") >= 1 << k)
-        marks.append(shared.settle(high.join(jumps[k], ["conv", "node"]).select("conv", "path", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth")), "chat-marks"))
+        marks.append(shared.settle(high.join(jumps[k], "id").select("path", F.col("up").alias("id"), (F.col("depth") - (1 << k)).alias("depth")), "chat-marks"))
     path = reduce(DataFrame.unionByName, marks)
-    return path.join(nodes.select("conv", "node", "role", "text"), ["conv", "node"]).select("conv.conv", "path", "depth", "role", "text")
+    return path.join(nodes.select("id", "conv", "role", "text"), "id").select("conv", "path", "depth", "role", "text")
 
 
 def format_paths(path: DataFrame, trained: str = "assistant") -> DataFrame:

@@ -362,7 +362,7 @@ def test_chat_tree(spark):
     rows = {(r.conv, r.path): r for r in chat.read_back(chat.format_paths(chat.chosen_paths(df, most=2))).collect()}
     assert [(t.role, t.text) for t in rows[1, 1].turns] == [("user", "q"), ("assistant", nodes[2][5]), ("user", "")]
     assert rows[1, 1].masked == [nodes[2][5]] and [t.text for t in rows[1, 2].turns] == ["q", "bad"]
-    assert set(rows) == {(1, 1), (1, 2), (3, 1)} and rows[3, 1].turns[0].role == ""
+    assert set(rows) == {(1, 1), (1, 2), (3, 1), (None, 1)} and rows[3, 1].turns[0].role == ""
     assert chat.format_paths(chat.chosen_paths(df.where("1 = 0"))).count() == 0
 
 
