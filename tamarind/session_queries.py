@@ -137,10 +137,10 @@ def I10_will_delay(spark, sf):
     return _sessions(spark, sf).where("detached is not null").select("inbox", delay.alias("delay"), (F.col("detached") + delay * 1000).alias("due"))
 
 
-@query(REPLIES + f" select inbox, 'will/' || inbox as topic, case when detached + least(expiry, inbox % 5 * 7000) * 1000 > {LATER} then 'TRY_LATER' else 'OK' end as code from z where detached is not null and inbox % 2 = 0")
+@query(REPLIES + f" select inbox, 'will/' || inbox as topic, case when inbox % 2 = 1 then 'NO_LWT' when detached + least(expiry, inbox % 5 * 7000) * 1000 > {LATER} then 'TRY_LATER' else 'OK' end as code from z where detached is not null")
 def I9_send_will(spark, sf):
     due = F.col("detached") + F.least(F.col("expiry"), F.col("inbox") % 5 * 7000) * 1000
-    return _sessions(spark, sf).where("detached is not null and inbox % 2 = 0").select("inbox", F.concat(F.lit("will/"), F.col("inbox").cast("string")).alias("topic"), F.when(due > LATER, "TRY_LATER").otherwise("OK").alias("code"))
+    return _sessions(spark, sf).where("detached is not null").select("inbox", F.concat(F.lit("will/"), F.col("inbox").cast("string")).alias("topic"), F.when(F.col("inbox") % 2 == 1, "NO_LWT").when(due > LATER, "TRY_LATER").otherwise("OK").alias("code"))
 
 
 # timers: the last request of a key decides
