@@ -145,3 +145,23 @@ def common_ranges(left: DataFrame, right: DataFrame, keys: list[str], lo: str =
     w = Window.partitionBy(*keys).orderBy("_at")
     cover = points.select(*keys, F.col("_at").alias(lo), (F.lead("_at").over(w) - 1).alias(hi), F.sum("_a").over(w).alias("_a"), F.sum("_b").over(w).alias("_b"))
     return merge_ranges(cover.where("_a > 0 and _b > 0").select(*keys, lo, hi), keys, lo, hi)
+
+
+def effective_route(ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each service's leader ranges (epoch, id, lo, hi) the ones that serve: those of the least epoch, tiled from the first start on.
+
+    The next range is the one of least start at or after the end of the last, of
+    least id among equal starts; an open end is the last.  A service's ranges are
+    its catalogue, one array in order.
+    """
+    oldest = ranges.groupBy(*keys).agg(F.min("epoch").alias("epoch"))
+    found = ranges.join(oldest, [*keys, "epoch"])
+    row = F.struct("lo", "id", "hi")  # an open start sorts first
+    listed = found.groupBy(*keys, "epoch").agg(F.sort_array(F.collect_list(row)).alias("_all"))
+    none = F.struct(F.lit(False).alias("begun"), F.lit(None).cast("long").alias("reach"), F.array().cast(f"array<{found.select(row.alias('r')).schema['r'].dataType.simpleString()}>").alias("route"))
+
+    def step(state: Column, x: Column) -> Column:
+        fits = ~state["begun"] | F.coalesce(x["lo"] >= state["reach"], F.lit(False))  # nothing follows an open end
+        return F.when(fits, F.struct(F.lit(True).alias("begun"), x["hi"].alias("reach"), F.array_append(state["route"], x).alias("route"))).otherwise(state)
+
+    return listed.select(*keys, "epoch", F.inline(F.aggregate("_all", none, step)["route"]))

@@ -34,3 +34,22 @@ def remove_wins(alive: DataFrame, flag: str = "flag") -> DataFrame:
 def delta(dots: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     """What a peer lacks."""
     return dots.join(known.select(*keys).distinct(), keys, "left_anti")
+
+
+def compactable(events: DataFrame, replaces: DataFrame, keys: list[str], before: int) -> DataFrame:
+    """Events of the history that may go now: without a value, older than ``before``, and replaced only by events that hold no value and are replaced themselves.
+
+    ``events`` has the keys, value and at; ``replaces`` has a row for each event
+    (the keys) and each one that replaced it (the keys with ``by_`` before them).
+    A caller repeats it on what is left.
+    """
+    by = [F.col(f"by_{k}").alias(k) for k in keys]
+    firm = events.select(*keys).join(replaces.select(*keys).distinct(), keys, "left_anti")
+    holding = events.where("value is not null").select(*keys).unionByName(firm).distinct()
+    kept = replaces.select(*by, F.struct(*keys).alias("_old")).join(holding, keys, "left_semi").select("_old.*").distinct()
+    return events.where(F.col("value").isNull() & (F.col("at") < before)).join(kept, keys, "left_anti")
+
+
+def exchange(mine: DataFrame, theirs: DataFrame, keys: list[str]) -> DataFrame:
+    """What one peer has after it was sent what it lacks; each side sends the other its delta."""
+    return mine.unionByName(delta(theirs, mine, keys))

@@ -104,3 +104,32 @@ def latest_sessions(made: DataFrame) -> DataFrame:
 
 def expired(detached: str, expiry: str, now_ms: int):
     return F.coalesce(F.col(detached) + F.col(expiry) * 1000 < now_ms, F.lit(False))
+
+
+ALIAS = "id long, alias long, fresh boolean"
+
+
+def aliased(topics: Iterator[tuple[int, str]], most: int) -> list[tuple[int, int, bool]]:
+    """The alias that a sender gives each topic in order: a new one while there are any, else that of the topic used least, the lower alias among equals."""
+    out, held = [], {}  # topic: [times, alias]
+    for id_, topic in topics:
+        fresh = topic not in held
+        if fresh and len(held) < most:
+            held[topic] = [1, len(held) + 1]
+        elif fresh:
+            least = min(held, key=held.get)
+            held[topic] = [1, held.pop(least)[1]]
+        else:
+            held[topic][0] += 1
+        out.append((id_, held[topic][1], fresh))
+    return out
+
+
+def sender_aliases(sent: DataFrame, client: str, most: int) -> DataFrame:
+    """Adds to each publish (id, topic) of a client its alias and whether the topic goes with it; a connection's publishes are one group."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = frame.sort_values("id")[["id", "topic"]].itertuples(index=False, name=None)
+        return pd.DataFrame(aliased(rows, most), columns=["id", "alias", "fresh"])
+
+    return sent.select(client, "id", "topic").groupBy(client).applyInPandas(run, ALIAS)

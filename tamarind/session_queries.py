@@ -394,3 +394,12 @@ def P34_topic_alias(spark, sf):
     made = e.withColumn("moved", moved).withColumn("bound", bound).withColumn("last", last)
     held = F.when(F.col("last.moved").isNull() | (F.col("last.moved") > F.col("event_id")), F.col("last.topic"))
     return made.select("event_id", F.coalesce("topic", held).alias("topic"))
+
+
+@query(RETAINED + f", {S}, {SP} select client, filter, topic, event_id from sp join t on t.tenant = sp.tenant and {RX} where filter = plain and (client % 3 = 0 or (client % 3 = 1 and client % 2 = 0)) and t.ms + t.expiry * 1000 > {NOW_MS}")
+def I14_subscribe(spark, sf):
+    """Retained messages that a subscription is sent: handling 0 always, 1 where it is new, 2 never; shared ones get none."""
+    subs = src.subscriptions(spark).withColumns({"handling": F.col("client") % 3, "existed": F.col("client") % 2 == 1})
+    asks = subs.where((T.share_kind(F.col("filter")) == "normal") & ((F.col("handling") == 0) | ((F.col("handling") == 1) & ~F.col("existed"))))
+    table = matching.alive(matching.retained(src.messages(spark, sf)), NOW_MS)
+    return matching.match_topics(table, asks).select("client", "filter", "topic", "event_id")

@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import topics as T
-from .operators import matching, queues, ranges, replicated
+from .operators import matching, queues, ranges, replicated, sessions
 from .queries import DOTS, RETAINED, M, P, _dots
 from .registry import query
 from .sources import messages as src
 from .sources.messages import read, rows
+from .streaming import windows
 
 
 # column functions
@@ -348,3 +349,65 @@ def C8_join(spark, sf):
     d, replaced = _dots(spark, sf)
     once = replicated.merge(d, replaced, ["uri", "replica", "ver"])
     return replicated.merge(once.unionByName(d), replaced, ["uri", "replica", "ver"]).select("uri", "replica", "ver")
+
+
+LEADERS = """l as (select l_suppkey, l_linenumber // 3 as epoch, l_orderkey * 10 + l_linenumber as id, case when l_partkey % 17 > 0 then l_partkey end as lo, case when l_partkey % 19 > 0 then l_partkey + 5 + l_linenumber * 3 end as hi from lineitem where l_returnflag <> 'R')"""
+
+
+@query(f"""with recursive {LEADERS}, f as (select *, row_number() over (partition by l_suppkey order by lo nulls first, id) as k from l x where epoch = (select min(epoch) from l y where y.l_suppkey = x.l_suppkey)),
+t as (select a.l_suppkey, a.k, min(b.k) as then_k from f a join f b on a.l_suppkey = b.l_suppkey and b.lo >= a.hi group by all),
+r as (select l_suppkey, k from f where k = 1 union all select r.l_suppkey, t.then_k from r join t on t.l_suppkey = r.l_suppkey and t.k = r.k) select l_suppkey, epoch, lo, id, hi from f join r using (l_suppkey, k)""")
+def A14_effective_route(spark, sf):
+    """A supplier stands for a service, its lines that were not returned for leaders of ranges."""
+    part = F.col("l_partkey")
+    led = read(spark, sf, "lineitem").where("l_returnflag <> 'R'").select(
+        "l_suppkey", F.call_function("div", F.col("l_linenumber"), F.lit(3)).alias("epoch"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+        F.when(part % 17 > 0, part).alias("lo"), F.when(part % 19 > 0, part + 5 + F.col("l_linenumber") * 3).alias("hi"),
+    )
+    return ranges.effective_route(led, ["l_suppkey"])
+
+
+@query("""with e as (select l_orderkey, l_linenumber, case when l_partkey % 4 = 0 then l_returnflag end as value, l_suppkey as stamp from lineitem), b as (select x.l_orderkey, x.l_linenumber, y.value, exists (select 1 from lineitem z where z.l_orderkey = y.l_orderkey and z.l_linenumber in (y.l_linenumber + 1, y.l_linenumber + 2)) as replaced from e x join e y on y.l_orderkey = x.l_orderkey and y.l_linenumber in (x.l_linenumber + 1, x.l_linenumber + 2))
+select l_orderkey, l_linenumber from e where value is null and stamp < 40 and not exists (select 1 from b where b.l_orderkey = e.l_orderkey and b.l_linenumber = e.l_linenumber and (b.value is not null or not b.replaced))""")
+def C10_compact(spark, sf):
+    """An order's lines stand for events, each replaced by the next two."""
+    line = read(spark, sf, "lineitem")
+    events = line.select("l_orderkey", "l_linenumber", F.when(F.col("l_partkey") % 4 == 0, F.col("l_returnflag")).alias("value"), F.col("l_suppkey").alias("at"))
+    ends = line.select(F.col("l_orderkey").alias("by_l_orderkey"), F.col("l_linenumber").alias("by_l_linenumber"))
+    older = ends.select("*", F.col("by_l_orderkey").alias("l_orderkey"), F.explode(F.array(F.col("by_l_linenumber") - 1, F.col("by_l_linenumber") - 2)).alias("l_linenumber")).where("l_linenumber > 0")
+    return replicated.compactable(events, older, ["l_orderkey", "l_linenumber"], 40).select("l_orderkey", "l_linenumber")
+
+
+@query("select l_suppkey, count(*) filter (l_linenumber <= 4) as mine, count(*) filter (l_linenumber % 2 = 0) as theirs, count(*) filter (l_linenumber <= 4 or l_linenumber % 2 = 0) as mine_after, count(*) filter (l_linenumber <= 4 or l_linenumber % 2 = 0) as theirs_after from lineitem group by 1")
+def R12_exchange(spark, sf):
+    """Two peers with parts of the lines, before and after each sent the other what it lacks."""
+    line = read(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber")
+    mine, theirs = line.where("l_linenumber <= 4"), line.where("l_linenumber % 2 = 0")
+    keys = ["l_orderkey", "l_linenumber"]
+    states = {"mine": mine, "theirs": theirs, "mine_after": replicated.exchange(mine, theirs, keys), "theirs_after": replicated.exchange(theirs, mine, keys)}
+    each = [df.select("l_suppkey", *((F.lit(1) if n == name else F.lit(0)).alias(n) for n in states)) for name, df in states.items()]
+    every = line.select("l_suppkey", *(F.lit(0).alias(n) for n in states))
+    for df in each:
+        every = every.unionByName(df)
+    return every.groupBy("l_suppkey").agg(*(F.sum(n).alias(n) for n in states))
+
+
+ALIASES = 3
+
+
+@query(f"""with recursive {M}, s as (select publisher, event_id, topic, row_number() over (partition by publisher order by event_id) as k from m),
+r as (select publisher, 0::bigint as k, 0::bigint as event_id, 0::bigint as alias, false as fresh, []::struct(n bigint, a bigint, t varchar)[] as st from (select distinct publisher from s)
+ union all
+ select publisher, k, event_id, case when old then list_filter(st, lambda x: x.t = topic)[1].a when room then len(st) + 1 else list_sort(st)[1].a end, not old,
+  case when old then list_transform(st, lambda x: {{'n': case when x.t = topic then x.n + 1 else x.n end, 'a': x.a, 't': x.t}}) when room then list_append(st, {{'n': 1::bigint, 'a': (len(st) + 1)::bigint, 't': topic}}) else list_append(list_sort(st)[2:], {{'n': 1::bigint, 'a': list_sort(st)[1].a, 't': topic}}) end
+ from (select s.*, st, len(list_filter(st, lambda x: x.t = topic)) > 0 as old, len(st) < {ALIASES} as room from r join s on s.publisher = r.publisher and s.k = r.k + 1))
+select event_id, alias, fresh from r where k > 0""")
+def P33_sender_alias(spark, sf):
+    sent = src.messages(spark, sf).select("publisher", F.col("event_id").alias("id"), "topic")
+    return sessions.sender_aliases(sent, "publisher", ALIASES).withColumnRenamed("id", "event_id")
+
+
+@query("select event_type, s as start_ms, cast(sum(cast(round(value * 100) as bigint)) as bigint) as total, count(*) as n from (select event_type, value, unnest([(epoch_us(ts) // 3600000000 - i) * 3600000 for i in range(6)]) as s from events) group by all")
+def R4_sliding(spark, sf):
+    """The form of the moving average that runs on streams too."""
+    return windows.moving(read(spark, sf, "events"), "ts", "6 hours", "1 hour", ["event_type"], F.round(F.col("value") * 100).cast("long"))

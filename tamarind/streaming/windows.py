@@ -25,3 +25,12 @@ def idle_sessions(rows: DataFrame, ts: str, gap: str, keys: list[str], late: str
 def once(rows: DataFrame, ts: str, keys: list[str], late: str) -> DataFrame:
     """On a stream: one of the rows of each key that come within ``late`` of each other."""
     return rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
+
+
+def moving(rows: DataFrame, ts: str, width: str, slide: str, keys: list[str], value: Column, late: str | None = None) -> DataFrame:
+    """Sum and number of a value in windows of ``width`` that begin every ``slide``; on a stream, ``late`` is how long one waits for late events."""
+    timed = rows.withColumn(ts, F.col(ts).cast("timestamp"))
+    if late:
+        timed = timed.withWatermark(ts, late)
+    found = timed.groupBy(*keys, F.window(ts, width, slide)).agg(F.sum(value).alias("total"), F.count("*").alias("n"))
+    return found.select(*keys, F.unix_millis("window.start").alias("start_ms"), "total", "n")

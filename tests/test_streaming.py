@@ -36,3 +36,11 @@ def test_idle_sessions(spark, tmp_path):
 def test_once(spark, tmp_path):
     events, got = streamed(spark, tmp_path, lambda df: windows.once(df.unionByName(df), "ts", ["event_id"], "1000 days").select("event_id"), "once", "append")
     assert got == sorted(tuple(r) for r in events.select("event_id").collect())
+
+
+def test_moving(spark, tmp_path):
+    def make(df):
+        return windows.moving(df, "ts", "6 hours", "1 hour", ["event_type"], F.col("event_id"), "100 days")
+
+    events, got = streamed(spark, tmp_path, make, "moving")
+    assert got == sorted(tuple(r) for r in make(events).collect())
