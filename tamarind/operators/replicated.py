@@ -5,15 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+PLACES = 1 << 40  # more than rows in a file
+
 
 def merge(dots: DataFrame, replaced: DataFrame, keys: list[str]) -> DataFrame:
     """Dots of all deltas, once each, without those that another dot replaced; order and repetition don't matter."""
     return dots.distinct().join(replaced.select(*keys).distinct(), keys, "left_anti")
 
 
+def last_written(dots: DataFrame) -> DataFrame:
+    """Each replica's highest version and the value it wrote last; dots have a place (_file, _row), and of equal versions the first one counts.
+
+    A dot without a value wrote nothing, but its version counts.
+    """
+    order = F.when(F.col("value").isNotNull(), F.col("ver").cast("decimal(38,0)") * F.lit(PLACES) - F.col("_row"))  # one number, so that rows are aggregated by hash
+    file = dots.groupBy("uri", "replica", "_file").agg(F.max("ver").alias("ver"), F.max_by("value", order).alias("value"), F.max_by("ver", order).alias("_at"))
+    first = F.min_by("value", F.when(F.col("value").isNotNull(), F.struct(-F.col("_at"), "_file")))
+    return file.groupBy("uri", "replica").agg(F.max("ver").alias("ver"), first.alias("value"))
+
+
 def counter(dots: DataFrame) -> DataFrame:
     """Sum over replicas of each one's value at its highest version."""
-    last = dots.groupBy("uri", "replica").agg(F.max_by("value", "ver").alias("value"))
+    last = last_written(dots)
     return last.groupBy("uri").agg(F.sum("value").alias("value"))
 
 

@@ -252,10 +252,14 @@ def A17_moving_max(spark, sf):
     return read(spark, sf, "events").select("event_id", F.max("value").over(w).alias("most"))
 
 
+def _written(spark, sf):
+    d = src.placed(spark, sf, "lineitem")
+    return d.select(F.col("l_suppkey").alias("uri"), (F.col("l_linenumber") % 4).alias("replica"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ver"), F.col("l_quantity").alias("value"), "_file", "_row")
+
+
 @query("select l_suppkey as uri, sum(v) as value from (select l_suppkey, l_linenumber % 4 as r, arg_max(l_quantity, l_orderkey * 10 + l_linenumber) as v from lineitem group by 1, 2) group by 1")
 def A19_counter(spark, sf):
-    d = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("uri"), (F.col("l_linenumber") % 4).alias("replica"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ver"), F.col("l_quantity").alias("value"))
-    return replicated.counter(d)
+    return replicated.counter(_written(spark, sf))
 
 
 def _dots(spark, sf):

@@ -27,6 +27,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def placed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table with each row's place in it: _file and _row."""
+    return read(spark, sf_dir, name).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
 def rows(spark: SparkSession, data: list[tuple], schema: str) -> DataFrame:
     """A literal table, planned inside the JVM."""
     names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)

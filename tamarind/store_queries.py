@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import topics as T
 from .operators import matching, queues, ranges, replicated, sessions
-from .queries import DOTS, RETAINED, M, P, _dots
+from .queries import DOTS, RETAINED, M, P, _dots, _written
 from .registry import query
 from .sources import messages as src
 from .sources.messages import read, rows
@@ -317,8 +317,7 @@ def A20_scatter_gather(spark, sf):
 @query("select l_suppkey as uri, l_linenumber % 4 as replica, max(l_orderkey * 10 + l_linenumber) as ver, arg_max(l_quantity, l_orderkey * 10 + l_linenumber) + 5 as value from lineitem group by 1, 2")
 def C1_counter_add(spark, sf):
     """Each replica adds 5 to what it wrote last, under a version of its own."""
-    d = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("uri"), (F.col("l_linenumber") % 4).alias("replica"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ver"), F.col("l_quantity").alias("value"))
-    return d.groupBy("uri", "replica").agg(F.max("ver").alias("ver"), (F.max_by("value", "ver") + 5).alias("value"))
+    return replicated.last_written(_written(spark, sf)).withColumn("value", F.col("value") + 5)
 
 
 @query(DOTS + " select uri, exists (select 1 from a where a.uri = d.uri and value = 'N') as enabled from d group by uri")
