@@ -65,10 +65,12 @@ def splittable(lo: Column, hi: Column, key: Column) -> Column:
 
 def valid_split_set(ranges: DataFrame, keys: list[str]) -> DataFrame:
     """Of each set of half-open ranges, whether they tile the whole key space: each begins where one ends, one at the open start and one at the open end."""
-    ends = ranges.select(*keys, F.inline(F.array(F.struct(F.col("hi").alias("at"), F.lit(1).alias("ends"), F.lit(0).alias("starts")), F.struct(F.col("lo").alias("at"), F.lit(0).alias("ends"), F.lit(1).alias("starts")))))
-    points = ends.groupBy(*keys, "at").agg(F.sum("ends").alias("ends"), F.sum("starts").alias("starts"))
-    forward = ranges.groupBy(*keys).agg(F.bool_and(F.coalesce(F.col("lo") < F.col("hi"), F.lit(True))).alias("forward"))
-    return points.groupBy(*keys).agg(F.bool_and((F.col("ends") == 1) & (F.col("starts") == 1)).alias("tiled"), F.count_if(F.col("at").isNull()).alias("open")).join(forward, keys).select(*keys, (F.col("tiled") & F.col("forward") & (F.col("open") == 1)).alias("valid"))
+    forward = F.coalesce(F.col("lo") < F.col("hi"), F.lit(True)).alias("forward")
+    end = F.struct(F.col("hi").alias("at"), F.lit(1).alias("ends"), F.lit(0).alias("starts"), forward)
+    start = F.struct(F.col("lo").alias("at"), F.lit(0).alias("ends"), F.lit(1).alias("starts"), forward)
+    points = ranges.select(*keys, F.inline(F.array(end, start))).groupBy(*keys, "at").agg(F.sum("ends").alias("ends"), F.sum("starts").alias("starts"), F.bool_and("forward").alias("forward"))
+    tiled = F.bool_and((F.col("ends") == 1) & (F.col("starts") == 1) & F.col("forward"))
+    return points.groupBy(*keys).agg((tiled & (F.count_if(F.col("at").isNull()) == 1)).alias("valid"))
 
 
 def split_key(loads: DataFrame, key: str, load: str) -> DataFrame:

@@ -32,6 +32,15 @@ def placed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read(spark, sf_dir, name).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
 
+DEALT = 250_000  # rows of a task
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of equal keys together, in as many tasks as keep each one's memory the same at every size; for tables, whose rows are counted in their footers."""
+    least = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(least, -(-df.count() // DEALT)), *keys)
+
+
 def rows(spark: SparkSession, data: list[tuple], schema: str) -> DataFrame:
     """A literal table, planned inside the JVM."""
     names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)

@@ -126,7 +126,7 @@ def U6_combine(spark, sf):
 @query("select l_orderkey, list(l_linenumber order by l_linenumber) = range(1, max(l_linenumber) + 1) and l_orderkey % 3 <> 0 as valid from lineitem group by l_orderkey")
 def U6_split_set(spark, sf):
     """Sets of ranges made of an order's lines: whole tilings, but every third set overlaps itself."""
-    line = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").withColumn("n", F.max("l_linenumber").over(Window.partitionBy("l_orderkey")))
+    line = src.dealt(read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey").withColumn("n", F.max("l_linenumber").over(Window.partitionBy("l_orderkey")))
     lo, hi = F.when(F.col("l_linenumber") > 1, F.col("l_linenumber") * 10), F.when(F.col("l_linenumber") < F.col("n"), F.col("l_linenumber") * 10 + 10)
     made = line.select("l_orderkey", lo.alias("lo"), F.when((F.col("l_orderkey") % 3 == 0) & (F.col("l_linenumber") == 1), F.lit(5)).otherwise(hi).alias("hi"))
     return ranges.valid_split_set(made, ["l_orderkey"])

@@ -6,6 +6,10 @@ import pyarrow.parquet as pq
 import pytest
 
 from tamarind import catalog
+from tamarind.operators import ranges
+from tamarind.sources import messages as src
+
+SF = "/root/testdata/sf0.001"
 
 
 def same_as_sql(spark, sf, name, *tables):
@@ -31,3 +35,16 @@ def test_equal_versions(spark, tmp_path, name):
         same_as_sql(spark, tmp_path, name, "lineitem")
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def most_rows_of_a_task(df):
+    return max(df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect())
+
+
+def test_split_set_tasks(spark, monkeypatch):
+    """Tasks grow in number with the table, not in size; a set without a name is a set."""
+    monkeypatch.setattr(src, "DEALT", 100, raising=False)
+    made = catalog.QUERIES["U6_split_set"](spark, SF)
+    assert most_rows_of_a_task(made) <= 100 and made.count() > 1000
+    sets = src.rows(spark, [(1, None, 5), (1, 5, None), (2, None, 5), (2, 6, None), (3, None, None), (4, 5, None), (5, None, 5), (5, 5, 5), (5, 5, None), (None, None, 7), (None, 7, None)], "k long, lo long, hi long")
+    assert {r.k: r.valid for r in ranges.valid_split_set(sets, ["k"]).collect()} == {1: True, 2: False, 3: True, 4: False, 5: False, None: True}
