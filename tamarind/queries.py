@@ -300,7 +300,8 @@ def C9_delta(spark, sf):
 @query("""with r as (select distinct l_suppkey, l_orderkey as lo, l_orderkey + l_linenumber * 20 as hi from lineitem), x as (select *, max(hi) over (partition by l_suppkey order by lo, hi rows between unbounded preceding and 1 preceding) as m from r),
 y as (select *, sum(case when m is null or lo > m + 1 then 1 else 0 end) over (partition by l_suppkey order by lo, hi rows unbounded preceding) as i from x) select l_suppkey, min(lo) as lo, max(hi) as hi from y group by l_suppkey, i""")
 def U5_merge_ranges(spark, sf):
-    r = read(spark, sf, "lineitem").select("l_suppkey", F.col("l_orderkey").alias("lo"), (F.col("l_orderkey") + F.col("l_linenumber") * 20).alias("hi")).distinct()
+    line = src.dealt(read(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber"), "l_suppkey")
+    r = line.select("l_suppkey", F.col("l_orderkey").alias("lo"), (F.col("l_orderkey") + F.col("l_linenumber") * 20).alias("hi")).distinct()
     return ranges.merge_ranges(r, ["l_suppkey"])
 
 
@@ -345,7 +346,7 @@ def A2_message_packs(spark, sf):
 @query("""with a as (select distinct l_suppkey as k, unnest(range(l_orderkey, l_orderkey + l_linenumber * 20 + 1)) as x from lineitem), b as (select distinct l_suppkey as k, unnest(range(l_orderkey, l_orderkey + l_linenumber * 5 + 1)) as x from lineitem where l_linenumber % 3 = 0),
 d as (select * from a except select * from b), i as (select *, x - row_number() over (partition by k order by x) as g from d) select k as l_suppkey, min(x) as lo, max(x) as hi from i group by k, g""")
 def U4_subtract_ranges(spark, sf):
-    rows = read(spark, sf, "lineitem")
+    rows = src.dealt(read(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber"), "l_suppkey")
     span = lambda df, n: df.select("l_suppkey", F.col("l_orderkey").alias("lo"), (F.col("l_orderkey") + F.col("l_linenumber") * n).alias("hi"))
     return ranges.subtract_ranges(span(rows, 20), span(rows.where("l_linenumber % 3 = 0"), 5), ["l_suppkey"])
 

@@ -141,7 +141,7 @@ def P25_splittable(spark, sf):
 @query("""with a as (select distinct l_suppkey as k, unnest(range(l_orderkey, l_orderkey + l_linenumber * 20 + 1)) as x from lineitem), b as (select distinct l_suppkey as k, unnest(range(l_orderkey, l_orderkey + l_linenumber * 5 + 1)) as x from lineitem where l_linenumber % 3 = 0),
 d as (select * from a intersect select * from b), i as (select *, x - row_number() over (partition by k order by x) as g from d) select k as l_suppkey, min(x) as lo, max(x) as hi from i group by k, g""")
 def U3_common_ranges(spark, sf):
-    line = read(spark, sf, "lineitem")
+    line = src.dealt(read(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber"), "l_suppkey")
     span = lambda df, n: df.select("l_suppkey", F.col("l_orderkey").alias("lo"), (F.col("l_orderkey") + F.col("l_linenumber") * n).alias("hi"))
     return ranges.common_ranges(span(line, 20), span(line.where("l_linenumber % 3 = 0"), 5), ["l_suppkey"])
 

@@ -48,3 +48,12 @@ def test_split_set_tasks(spark, monkeypatch):
     assert most_rows_of_a_task(made) <= 100 and made.count() > 1000
     sets = src.rows(spark, [(1, None, 5), (1, 5, None), (2, None, 5), (2, 6, None), (3, None, None), (4, 5, None), (5, None, 5), (5, 5, 5), (5, 5, None), (None, None, 7), (None, 7, None)], "k long, lo long, hi long")
     assert {r.k: r.valid for r in ranges.valid_split_set(sets, ["k"]).collect()} == {1: True, 2: False, 3: True, 4: False, 5: False, None: True}
+
+
+@pytest.mark.parametrize("name", ["U5_merge_ranges", "U4_subtract_ranges", "U3_common_ranges"])
+def test_range_tasks(spark, monkeypatch, name):
+    """A supplier's ranges are one task's rows, and tasks hold few suppliers at every size."""
+    monkeypatch.setattr(src, "DEALT", 200, raising=False)
+    made = catalog.QUERIES[name](spark, SF)
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert made.rdd.getNumPartitions() == -(-rows // 200)
