@@ -49,7 +49,7 @@ def _replies(spark, sf):
 
 
 def _sessions(spark, sf):
-    return sessions.latest_sessions(_replies(spark, sf))
+    return sessions.latest_sessions(_requests(spark, sf), MOST)
 
 
 @query(REPLIES + " select id, inbox, code, incarnation, mod, expiry from v where op = 'attach'")
@@ -121,7 +121,7 @@ def A4_used_space(spark, sf):
 
 @query(REPLIES + " select inbox, incarnation, mod, filters from z where inbox = 7")
 def S15_session(spark, sf):
-    return sessions.latest_sessions(sessions.replies(_requests(spark, sf).where("inbox = 7"), MOST)).select("inbox", "incarnation", "mod", "filters")
+    return sessions.latest_sessions(_requests(spark, sf).where("inbox = 7"), MOST).select("inbox", "incarnation", "mod", "filters")
 
 
 @query(REPLIES + " select inbox, detached + expiry * 1000 as due, row_number() over (order by detached + expiry * 1000, inbox) as place from z where detached is not null qualify place <= 20")

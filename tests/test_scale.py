@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from tamarind import catalog
-from tamarind.operators import ranges
+from tamarind.operators import ranges, sessions
 from tamarind.sources import messages as src
 
 SF = "/root/testdata/sf0.001"
@@ -57,3 +57,26 @@ def test_range_tasks(spark, monkeypatch, name):
     made = catalog.QUERIES[name](spark, SF)
     rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     assert made.rdd.getNumPartitions() == -(-rows // 200)
+
+
+@pytest.mark.parametrize("name", ["W11_by_deadline", "P15_has_expired", "I11_expire", "P33_sender_alias"])
+def test_session_tasks(spark, monkeypatch, name):
+    """A task folds many sessions one after the other, over borders of batches, and tasks grow in number with the table."""
+    monkeypatch.setattr(src, "DEALT", 50, raising=False)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        same_as_sql(spark, SF, name, "events")
+        if name == "I11_expire":
+            rows = spark.read.parquet(f"{SF}/events.parquet").count()
+            assert catalog.QUERIES[name](spark, SF).rdd.getNumPartitions() == -(-rows // 50)
+        plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+        assert "FlatMapGroupsInPandas" not in plan  # a frame for each session
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_session_without_times(spark):
+    """Requests without a time or an expiry are replayed too; they let no session end."""
+    asked = [(1, 7, "attach", None, None, None, None, False), (2, 7, "detach", None, None, 5, None, False), (3, 7, "expire", None, None, 90_000, 0, False), (4, None, "attach", None, None, 0, 60, False)]
+    made = sessions.replies(src.rows(spark, asked, "id long, inbox long, op string, filter string, qos long, ms long, expiry long, stale boolean"), 3)
+    assert sorted((r.id, r.inbox, r.code, r.detached) for r in made.collect()) == [(1, 7, "CREATED", None), (2, 7, "OK", 5), (3, 7, "KEPT", 5), (4, None, "CREATED", None)]
