@@ -46,7 +46,7 @@ END, UNSEEN = CLASSES, CLASSES + 1
 END_HASH = np.uint64(0x5EED0FE17D0C0DE5)
 ROUNDS = 14
 SEGMENT = 1536
-RUN = 1 << 19  # tokens of the documents that advance together; a longer document is a run of its own
+RUN = 1 << 20  # tokens of the documents that advance together; a longer document is a run of its own
 RESCALE = 8  # steps between scalings; a step takes no more than about ten digits
 TASK_BYTES = 64 << 20  # classes (two bytes a token) that a task of a round reads, where there are more tasks than cores
 BLOCK = 2048
@@ -117,34 +117,33 @@ class Model:
         """
         k = len(self.start)
         emit = np.ascontiguousarray((self.emit / np.maximum(self.emit.max(1, keepdims=True), 1e-300)).T)
+        kinds = kinds.astype(np.intp)
         e = emit.take(kinds, axis=1)
-        at = np.concatenate([[0], np.cumsum(active)]).tolist()
+        at = np.concatenate([[0], np.cumsum(active), [len(kinds)]]).tolist()
         size = [*active.tolist(), 0]
         n, forth = size[0], np.ascontiguousarray(self.move.T)
         lead, leave, entered, later = self._borders(e, at, active, doc, nth)
         alpha, scale = np.empty_like(e), {}
-        np.multiply(lead, e[:, :n], out=alpha[:, :n])
+        a = np.multiply(lead, e[:, :n], out=alpha[:, :n])
         for t in range(1, len(active)):
-            m = size[t]
-            a = forth @ alpha[:, at[t - 1] : at[t - 1] + m]
+            a = np.matmul(forth, a[:, : size[t]], out=alpha[:, at[t] : at[t + 1]])
             a *= e[:, at[t] : at[t + 1]]
             if t % RESCALE == 0:
-                scale[t] = 1 / a.sum(0)
+                scale[t] = 1 / np.add.reduce(a, 0)
                 a *= scale[t]
-            alpha[:, at[t] : at[t + 1]] = a
-        beta = np.empty((k, n))
+        beta, held = np.empty((k, n)), np.empty((k, n))
         found = np.zeros((k, k))
         for t in range(len(active) - 1, -1, -1):
             m, more = size[t], size[t + 1]
             a = alpha[:, at[t] : at[t + 1]]
             if more:
-                w = e[:, at[t + 1] : at[t + 1] + more] * beta[:, :more]
+                w = np.multiply(e[:, at[t + 1] : at[t + 2]], beta[:, :more], out=held[:, :more])
                 if t + 1 in scale:
                     w *= scale[t + 1]
                 found += a[:, :more] @ w.T
-                beta[:, :more] = self.move @ w
+                np.matmul(self.move, w, out=beta[:, :more])
             if more < m:
-                beta[:, more:m] = leave[:, more:m] / (a[:, more:] * leave[:, more:m]).sum(0)
+                beta[:, more:m] = leave[:, more:m] / np.add.reduce(a[:, more:] * leave[:, more:m], 0)
             a *= beta[:, :m]
         if len(later):  # moves over the borders of segments
             found += entered[:, later] @ (e[:, later] * beta[:, later]).T
@@ -167,11 +166,13 @@ class Model:
         forth = np.ascontiguousarray(self.move.T)
         matrix = np.zeros((k, k, len(many)))  # from, to, segment
         matrix[np.arange(k), np.arange(k)] = e[:, many]
-        for t in range(1, len(active)):
-            m = int(np.searchsorted(many, active[t]))  # segments are in order of length
+        for t, m in enumerate(np.searchsorted(many, active).tolist()):  # segments are in order of length
+            if not t:
+                continue
             if not m:
                 break
-            a = np.matmul(forth, matrix[:, :, :m]) * e[:, at[t] + many[:m]]
+            a = np.matmul(forth, matrix[:, :, :m])
+            a *= e.take(at[t] + many[:m], axis=1)
             if t % RESCALE == 0:
                 a /= a.sum((0, 1))
             matrix[:, :, :m] = a
@@ -210,11 +211,16 @@ class Model:
         for t, m in enumerate(active.tolist()):
             if m < len(a):
                 ends[m : len(a)] = a[m:]
-            a = (a[:m] @ self.move if t else a[:m]) * self.emit[kind[at0[:m] + t]]
-            s = a.sum(1)
-            a /= s[:, None]
-            logs[:m] += np.log10(s)
+            a = a[:m] @ self.move if t else a[:m]
+            a *= self.emit.take(kind[at0[:m] + t], axis=0)
+            if t % RESCALE == RESCALE - 1:
+                s = np.add.reduce(a, 1)
+                a /= s[:, None]
+                logs[:m] += np.log10(s)
         ends[: len(a)] = a
+        s = ends.sum(1)
+        ends /= s[:, None]
+        logs += np.log10(s)
         final, log = np.empty_like(ends), np.empty(len(row))
         final[order], log[order] = ends, logs
         where = np.cumsum(copies) - copies
@@ -259,7 +265,7 @@ def cut_segments(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, first in token_runs(batch.column(0), 4):
+            for h, first in token_runs(batch.column(0), 6):
                 for made in segments(classes(h), first):
                     yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in made], names=list(RUN_COLUMNS))
             scan.release()

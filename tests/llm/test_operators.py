@@ -493,3 +493,18 @@ def test_pipeline_odd(spark, odd, none):
             docs = shared.settle(stage(spark, docs, SF), "test")
             assert docs.columns == odd.columns
         corpus_pipeline.STAGES[-1][1](spark, docs, SF).count()
+
+
+def test_hmm_scalings(monkeypatch):
+    """The forward recursion is scaled every few steps, as training is, with the same likelihood as at each step."""
+    rng = np.random.default_rng(3)
+    k, n = 4, 50
+    model = hmm.Model(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(n), k).T * 1e-9)
+    first = np.array([0, 1, 9, 17, 4000])
+    kind = rng.integers(0, n, first[-1])
+    calls, log10 = [], np.log10
+    monkeypatch.setattr(hmm.np, "log10", lambda x: calls.append(1) or log10(x))
+    got = model.likelihood(kind, first)
+    assert len(calls) <= hmm.BLOCK // hmm.RESCALE + 2
+    monkeypatch.setattr(hmm, "RESCALE", 1)
+    assert np.allclose(got, model.likelihood(kind, first), rtol=1e-12)
