@@ -28,8 +28,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def placed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table with each row's place in it: _file and _row."""
-    return read(spark, sf_dir, name).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    """The table with each row's place in it: _file and _row; files sort by their names as stored, and not as Spark writes them in a path (a blank as %20)."""
+    file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return read(spark, sf_dir, name).select("*", file.alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
 
 DEALT = 250_000  # rows of a task

@@ -37,6 +37,16 @@ def test_equal_versions(spark, tmp_path, name):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+@pytest.mark.parametrize("name", ["C1_counter_add", "A19_counter"])
+def test_equal_versions_of_files(spark, tmp_path, name):
+    """Files sort by their names as stored: a blank comes before all else, a plus is no blank."""
+    (tmp_path / "lineitem.parquet").mkdir()
+    for i, file in enumerate(["a b", "a!b", "a%b", "a+b", "ab", "é"]):
+        rows = {"l_orderkey": [5] * 7, "l_suppkey": [min(k, i) for k in range(7)], "l_linenumber": pa.array([1] * 7, pa.int32()), "l_quantity": [float(10 * i + k) for k in range(7)]}
+        pq.write_table(pa.table(rows), tmp_path / "lineitem.parquet" / f"{file}.parquet")
+    same_as_sql(spark, tmp_path, name, "lineitem")
+
+
 def most_rows_of_a_task(df):
     return max(df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect())
 
